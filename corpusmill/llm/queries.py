@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import doc_pairs, encoding, leakage, mixing, split_overlap, splitting, syntax, token_budget
+from . import doc_pairs, encoding, leakage, mixing, pair_defects, residue, split_overlap, splitting, syntax, token_budget
 from .util import table
 
 
@@ -33,6 +33,16 @@ def p3_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(p3_found(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "sft_pairs")
+    return pair_defects.detect(pairs, pair_defects.fit(pairs))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "sft_pairs")
+    return pair_defects.rates(p4_found(spark, d), pairs)
+
+
 def p5_budget(spark: SparkSession, d: str) -> DataFrame:
     return token_budget.budget(p5_tokens(spark, d))
 
@@ -69,11 +79,25 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_residue(spark, d).select("doc_id")
+
+
+def p10_residue(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return residue.detect(documents, residue.fit(documents))
+
+
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return residue.exclude(documents.select("doc_id", "lang", "source"), residue.detect(documents, residue.fit(documents)))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(encoding.count_tokens(table(spark, d, "documents"), ["doc_id", "source"]), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_rates, p3_found, p3_items, p5_budget, p5_tokens, p6_found, p6_report, p7_found, p7_pairs, p8_ids, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_rates, p3_found, p3_items, p4_found, p4_rates, p5_budget, p5_tokens, p6_found, p6_report, p7_found, p7_pairs, p8_ids, p9_mixture, p9_shares, p10_found, p10_residue, p10_kept)}
 
 SQL = {
     "p1_found": """
