@@ -75,3 +75,16 @@ def plain_language(language: Column, file_name: Column | None = None) -> Column:
     if file_name is not None:
         own = F.coalesce(own, F.when(F.lower(file_name).endswith(".py"), "python").when(F.lower(file_name).endswith(".rs"), "rust"))
     return F.coalesce(own, F.lit("unknown"))
+
+
+def bounded_sample(df: DataFrame, key: str, columns: list[Column], where: Column, rows: int) -> list:
+    """At most `rows` rows that meet `where`, of the smallest hashes of their key, brought to the driver.
+
+    The rows are counted first, and only hashes below a bound that some twice as many rows have are looked at, so what the tasks send
+    stays in proportion to `rows`, however many tasks there are.
+    """
+    n = df.count()
+    hashed = F.xxhash64(F.lit("sample"), F.col(key))
+    few = df if n <= 2 * rows else df.where(F.pmod(hashed, F.lit(1 << 40)) < int((1 << 40) * (2.0 * rows / n)))
+    small = few.where(where).select(F.pmod(hashed, F.lit(1 << 40)).alias("__h"), *columns)
+    return small.orderBy(*small.columns).limit(rows).collect()
