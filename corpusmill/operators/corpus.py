@@ -41,8 +41,7 @@ def wanted_path(path: Column | str, exclude: tuple[str, ...], prefixes: tuple[st
 
 
 def seems_generated(text: Column | str, lines: int = GENERATED_LINES) -> Column:
-    head = F.lower(F.array_join(F.slice(t.split_lines(text), 1, lines), "\n"))
-    return t.contains_any(head, GENERATED)
+    return F.rlike(F.lower(t.first_lines(text, lines)), F.lit("|".join(rf"\Q{g}\E" for g in GENERATED)))
 
 
 def rust_features(text: Column | str) -> tuple[Column, Column]:

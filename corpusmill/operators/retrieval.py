@@ -24,36 +24,41 @@ def normalise(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / size)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(qid, did, s, rk) of the k most similar documents of each query, by cosine; ties by did.
-
-    queries (qid, qv) against corpus (did, dv).  The corpus goes to the workers in blocks of a bounded size, whose number follows from
-    its count; each block is searched by matrix products over Arrow batches for its own k best, and the best of all blocks remain.  The
-    partial k best a query are all that is shuffled.
-    """
+def _blocks(corpus: DataFrame, block_bytes: int):
+    """Broadcasts of (ids, unit vectors) of blocks of the corpus, of a bounded size; their number follows from a count."""
     first = corpus.select(F.size("dv").alias("d")).first()
     if first is None:
-        return queries.select("qid").limit(0).selectExpr("qid", "cast(null as bigint) did", "cast(null as double) s", "cast(null as int) rk")
+        return
     n = corpus.count()
     blocks = max(1, math.ceil(n * (first.d or 1) * 8 * 1.25 / block_bytes))
-    sc = corpus.sparkSession.sparkContext
-    out = None
     for b in range(blocks):
         part = corpus if blocks == 1 else corpus.where(F.pmod(F.xxhash64("did"), F.lit(blocks)) == b)
         rows = part.select("did", "dv").toPandas().sort_values("did")
-        if rows.empty:
-            continue
-        m = np.stack([np.asarray(v, np.float64) for v in rows["dv"]])
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
-        held = sc.broadcast((rows["did"].to_numpy(), m))
+        if len(rows):
+            yield corpus.sparkSession.sparkContext.broadcast((rows["did"].to_numpy(), _unit(rows["dv"])))
+
+
+def _unit(vectors) -> np.ndarray:
+    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(qid, did, s, rk) of the k most similar documents of each query, by cosine; ties by did.
+
+    queries (qid, qv) against corpus (did, dv).  The corpus goes to the workers in blocks of a bounded size; each block is searched by
+    matrix products over Arrow batches for its own k best, and the best of all blocks remain.  The k best a query and block are all
+    that is shuffled.
+    """
+    out = queries.sparkSession.createDataFrame([], "qid bigint, did bigint, s double")
+    for held in _blocks(corpus, block_bytes):
 
         def search(batches, held=held):
             ids, docs = held.value
             for pdf in batches:
                 if pdf.empty:
                     continue
-                q = np.stack([np.asarray(v, np.float64) for v in pdf["qv"]])
-                q /= np.linalg.norm(q, axis=1, keepdims=True)
+                q = _unit(pdf["qv"])
                 for at in range(0, len(q), 256):
                     s = q[at : at + 256] @ docs.T
                     near = min(k, s.shape[1])
@@ -64,15 +69,34 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, block_bytes: int = BLOC
                         c = c[np.lexsort((ids[c], -np.round(row[c], 12)))][:near]
                         yield pd.DataFrame({"qid": pdf["qid"].iloc[at + i], "did": ids[c], "s": row[c]})
 
-        found = queries.select("qid", "qv").mapInPandas(search, "qid bigint, did bigint, s double")
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(queries.select("qid", "qv").mapInPandas(search, "qid bigint, did bigint, s double"))
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("s", 12)), "did")
     return out.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def similarities(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(qid, did, s) of all pairs, for ranks of targets: a stated query set against all documents."""
-    return queries.join(corpus, F.lit(True)).select("qid", "did", cosine(F.col("qv"), F.col("dv")).alias("s"))
+def target_ranks(queries: DataFrame, corpus: DataFrame, target: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(qid, did, rank, s, top_s): where the target (qid, did) of each query stands among all documents; ties by did.
+
+    Each block of the corpus counts what stands above the target; the counts are summed, so nothing is gathered or ordered.
+    """
+    own = queries.join(target.select("qid", F.col("did").alias("__t")), "qid").join(corpus.select(F.col("did").alias("__t"), F.col("dv").alias("__tv")), "__t").select("qid", "qv", "__t", "__tv")
+    counts = queries.sparkSession.createDataFrame([], "qid bigint, t bigint, n bigint, s double, top double")
+    for held in _blocks(corpus, block_bytes):
+
+        def above(batches, held=held):
+            ids, docs = held.value
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                q, goal, tid = _unit(pdf["qv"]), _unit(pdf["__tv"]), pdf["__t"].to_numpy()
+                s = np.round(q @ docs.T, 12)
+                own_s = np.round((q * goal).sum(axis=1), 12)
+                near = np.abs(s - own_s[:, None]) < 1e-11  # one value by two ways of summing
+                n = ((s > own_s[:, None]) & ~near | near & (ids[None, :] < tid[:, None])).sum(axis=1)
+                yield pd.DataFrame({"qid": pdf["qid"], "t": tid, "n": n, "s": own_s, "top": s.max(axis=1)})
+
+        counts = counts.unionByName(own.mapInPandas(above, counts.schema))
+    return counts.groupBy("qid", F.col("t").alias("did")).agg((F.sum("n") + 1).alias("rank"), F.max("s").alias("s"), F.max("top").alias("top_s")).select("qid", "did", "rank", "s", "top_s")
 
 
 def discount(rank: Column, k: int) -> Column:
@@ -96,17 +120,6 @@ def mean_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(a) for c, a in (("hit_1", "acc_at_1"), ("rr", "mrr"), ("ndcg", "ndcg"), ("recall", "recall"))])
 
 
-def target_ranks(scored: DataFrame, target: DataFrame) -> DataFrame:
-    """(qid, did, rank, s, top_s): where the target (qid, did) of each query stands among all documents; ties by did."""
-    t = target.select("qid", F.col("did").alias("__t"))
-    own = scored.join(t, "qid").where(F.col("did") == F.col("__t")).select("qid", "did", "s")
-    limit = own.select("qid", F.col("did").alias("__d"), F.round("s", 12).alias("__s"))
-    other = F.round("s", 12)
-    # counts are partial sums, so no query's documents are gathered or ordered
-    above = scored.join(limit, "qid").groupBy("qid").agg(F.count_if((other > F.col("__s")) | ((other == F.col("__s")) & (F.col("did") < F.col("__d")))).alias("n"), F.max("s").alias("top_s"))
-    return own.join(above, "qid").select("qid", "did", (F.col("n") + 1).alias("rank"), "s", "top_s")
-
-
 def errors(ranks: DataFrame, k: int, n: int = 20) -> DataFrame:
     """The first n queries whose target isn't among the k best."""
     return ranks.where(F.col("rank") > k).orderBy("qid").limit(n).select("qid", "did", F.col("rank").alias("correct_rank"), F.round("s", 6).alias("correct_similarity"), F.round("top_s", 6).alias("top_1_similarity"))

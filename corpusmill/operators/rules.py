@@ -63,10 +63,18 @@ LOW_QUALITY = ("assert True", "TODO:", "todo:", "placeholder", "lorem ipsum", "d
 ALLOWED = ("docstring", "bugfix", "improve", "unit_test", "complete")
 
 
+def prepared(pairs: DataFrame, **more: Column) -> DataFrame:
+    """The pairs with stripped texts (__c, __i, __r) and what else rules refer to again and again, so that each is made once a row."""
+    part = {f"__{c[0]}": t.strip(F.coalesce(c, F.lit(""))) for c in ("category", "instruction", "response")}
+    return pairs.withColumns(part | more)
+
+
+_PREPARED = ("__c", "__i", "__r", "__in", "__rn", "__low", "__code", "__joined", "__words", "__compiles")
+
+
 def pair_rules(allowed: Sequence[str] = ALLOWED, compiles: Column | None = None) -> list[Rule]:
-    """The rules of a pair's quality; `compiles` None leaves out the rule that needs Python's compiler."""
-    category, ins, resp = t.strip(F.coalesce("category", F.lit(""))), t.strip(F.coalesce("instruction", F.lit(""))), t.strip(F.coalesce("response", F.lit("")))
-    ins_norm, resp_norm = t.norm("instruction"), t.norm("response")
+    """The rules of a pair's quality, over prepared columns; `compiles` None leaves out the rule that needs Python's compiler."""
+    category, ins, resp, ins_norm, resp_norm = map(F.col, ("__c", "__i", "__r", "__in", "__rn"))
     hinted, aligned = F.lit(False), F.lit(False)
     for c, words in HINTS.items():
         hinted = hinted | (category == c)
@@ -104,15 +112,15 @@ def pair_compiles() -> Column:
 
 def annotate(pairs: DataFrame, allowed: Sequence[str] = ALLOWED, with_compiler: bool = True) -> DataFrame:
     """The pairs with score_hundredths, quality_score, quality_reasons, quality_fails and quality_hard_fails."""
-    df = pairs
+    df = prepared(pairs, __in=t.norm("instruction"), __rn=t.norm("response"))
     compiled = None
     if with_compiler:
-        needs = t.strip(F.coalesce("category", F.lit(""))).isin("unit_test", "complete", "bugfix")
+        needs = F.col("__c").isin("unit_test", "complete", "bugfix")
         df = df.withColumn("__compiles", any_compiles(F.when(needs, t.blocks("response", "labelled", "def"))))
         compiled = F.col("__compiles")
     points, reasons, fails, hards = score(pair_rules(allowed, compiled))
     out = df.select("*", points.alias("score_hundredths"), reasons.alias("quality_reasons"), fails.alias("quality_fails"), hards.alias("quality_hard_fails"))
-    return out.withColumn("quality_score", F.col("score_hundredths") / 100.0).drop("__compiles")
+    return out.withColumn("quality_score", F.col("score_hundredths") / 100.0).drop(*_PREPARED)
 
 
 def passes(least_hundredths: int = 68) -> Column:
@@ -125,14 +133,12 @@ def _need(category: Column, *names: str) -> Column:
 
 
 def response_rules(compiles: Column) -> tuple[Column, list[Rule]]:
-    """(too short, rules) of a generated response by its category; `compiles`: whether one of its blocks does."""
+    """(too short, rules) of a generated response by its category, over prepared columns; `compiles`: whether one of its blocks does."""
     category, resp = F.coalesce("category", F.lit("")), F.coalesce("response", F.lit(""))
-    low = F.lower(resp)
-    code = t.blocks("response", "spaced", "def")
+    low, code, text = F.col("__low"), F.col("__code"), F.col("__joined")
     has_code, coding = F.size(code) > 0, category.isin("complete", "bugfix", "unit_test")
-    text = F.array_join(code, "\n")
     asserts, tests = F.contains(text, F.lit("assert ")), F.contains(text, F.lit("def test_"))
-    return F.length(t.strip(resp)) < 15, [
+    return F.length("__r") < 15, [
         Rule(F.lit(True), 20),
         Rule(~t.contains_any(low, ("assert true\n", "todo:", "placeholder", "lorem ipsum", "your_module")), 10, fail="placeholder_content"),
         Rule(has_code, fail="missing_code_block", applies=coding),
@@ -148,21 +154,19 @@ def response_rules(compiles: Column) -> tuple[Column, list[Rule]]:
 
 def validate_response(pairs: DataFrame, compiles: Column | None = None) -> DataFrame:
     """The pairs with valid, response_hundredths and response_errors; a short response has no points and one error."""
-    df, c = pairs, compiles
-    if c is None:
-        df, c = pairs.withColumn("__c", any_compiles(t.blocks("response", "spaced", "def"))), F.col("__c")
-    short, rules = response_rules(c)
+    df = prepared(pairs, __low=F.lower(F.coalesce("response", F.lit(""))), __code=t.blocks("response", "spaced", "def")).withColumn("__joined", F.array_join("__code", "\n"))
+    if compiles is None:
+        df = df.withColumn("__compiles", any_compiles("__code"))
+    short, rules = response_rules(F.col("__compiles") if compiles is None else compiles)
     points, _, fails, _ = score(rules)
     errors = F.when(short, F.array(F.lit("too_short"))).otherwise(fails)
-    return df.withColumn("response_hundredths", F.when(short, 0).otherwise(points)).withColumn("response_errors", errors).withColumn("valid", F.size("response_errors") == 0).drop("__c")
+    return df.withColumn("response_hundredths", F.when(short, 0).otherwise(points)).withColumn("response_errors", errors).withColumn("valid", F.size("response_errors") == 0).drop(*_PREPARED)
 
 
 def row_rules(compiles: Column, allowed: Sequence[str], code_missing_is_error: bool = True) -> list[Rule]:
     """The rules of a synthetic row; code_missing_is_error: a unit test without code has an error of its own."""
-    category, ins, resp = t.strip(F.coalesce("category", F.lit(""))), t.strip(F.coalesce("instruction", F.lit(""))), t.strip(F.coalesce("response", F.lit("")))
-    code = t.blocks("response", "plain", "more")
+    category, ins, resp, code, joined = map(F.col, ("__c", "__i", "__r", "__code", "__joined"))
     has_code, coding = F.size(code) > 0, category.isin("complete", "bugfix", "unit_test", "improve")
-    joined = F.array_join(code, "\n")
     asserts = F.regexp_count(joined, F.lit("assert ")) >= 3
     rules = [
         Rule(category.isin(*allowed), 15, fail="invalid_category"),
@@ -187,11 +191,11 @@ ROW_CATEGORIES = ("docstring", "bugfix", "improve", "unit_test", "complete", "ex
 
 def validate_row(pairs: DataFrame, allowed: Sequence[str] = ROW_CATEGORIES, compiles: Column | None = None, code_missing_is_error: bool = True) -> DataFrame:
     """The pairs with valid, row_hundredths and row_errors."""
-    df, c = pairs, compiles
-    if c is None:
-        df, c = pairs.withColumn("__c", any_compiles(t.blocks("response", "plain", "more"))), F.col("__c")
-    points, _, fails, _ = score(row_rules(c, allowed, code_missing_is_error))
-    return df.withColumn("row_hundredths", points).withColumn("row_errors", fails).withColumn("valid", F.size("row_errors") == 0).drop("__c")
+    df = prepared(pairs, __code=t.blocks("response", "plain", "more")).withColumn("__joined", F.array_join("__code", "\n"))
+    if compiles is None:
+        df = df.withColumn("__compiles", any_compiles("__code"))
+    points, _, fails, _ = score(row_rules(F.col("__compiles") if compiles is None else compiles, allowed, code_missing_is_error))
+    return df.withColumn("row_hundredths", points).withColumn("row_errors", fails).withColumn("valid", F.size("row_errors") == 0).drop(*_PREPARED)
 
 
 # ------------------------------------------------------------------ style, hallucination and task checks

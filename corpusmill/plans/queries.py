@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codeast
 from ..functions import text as t
 from ..operators import corpus, dedup, evaluation, pairs, quality, retrieval, rules, splits, tokens
+from ..sources.tables import read_table, spread
 from . import sqltext as s
 
 QUERIES: dict = {}
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return read_table(spark, d, name)
 
 
 # ------------------------------------------------------------------ corpora
@@ -36,7 +37,7 @@ SPEC = corpus.Spec("rust", ("tests", "bench", "/span", "retry"), ("src/", "lib/"
 
 
 def _files(spark, d):
-    return table(spark, d, "source_files").withColumn("rel_path", F.replace("file_name", F.lit("__"), F.lit("/")))
+    return spread(table(spark, d, "source_files").select("file_id", "file_name", "text")).withColumn("rel_path", F.replace("file_name", F.lit("__"), F.lit("/")))
 
 
 _FILES = "with f as (select *, replace(file_name, '__', '/') as rel_path from source_files)"
@@ -62,7 +63,7 @@ def corpus_generated_marker(spark, d):
     "from source_files where text is not null"
 )
 def corpus_line_stats(spark, d):
-    return table(spark, d, "source_files").where("text is not null").select(
+    return _files(spark, d).where("text is not null").select(
         "file_id", t.count_lines("text").cast("bigint").alias("n_lines"), t.count_newline_parts("text").cast("bigint").alias("n_parts"), F.octet_length("text").cast("bigint").alias("n_bytes"), t.count_words("text").cast("bigint").alias("n_words"),
     )
 
@@ -129,17 +130,22 @@ def _pairs(spark, d):
     return table(spark, d, "sft_pairs")
 
 
+def _texts(spark, d):
+    """For queries that work on the texts: over all cores."""
+    return spread(table(spark, d, "sft_pairs").select("pair_id", "pos", "category", "instruction", "response"))
+
+
 _KEYED = f"row_number() over (partition by {s.norm('instruction')}, {s.norm('response')}, coalesce(category, '') order by pos)"
 
 
 @query(f"select pair_id, pos from (select pair_id, pos, {_KEYED} as r from sft_pairs) where r = 1")
 def pairs_dedup_normalised(spark, d):
-    return dedup.first_of(_pairs(spark, d), dedup.normalised_key()).select("pair_id", "pos")
+    return dedup.first_of(_texts(spark, d), dedup.normalised_key()).select("pair_id", "pos")
 
 
 @query("select pair_id, pos from (select pair_id, pos, row_number() over (partition by md5(concat(left(coalesce(instruction, ''), 100), '|', left(coalesce(response, ''), 200))) order by pos) as r from sft_pairs) where r = 1")
 def pairs_dedup_prefix(spark, d):
-    return dedup.first_of(_pairs(spark, d), dedup.prefix_key()).select("pair_id", "pos")
+    return dedup.first_of(_texts(spark, d), dedup.prefix_key()).select("pair_id", "pos")
 
 
 @query("select md5(anchor) as digest, min(rp_id) as first_pos from retrieval_pairs where anchor is not null group by anchor")
@@ -158,7 +164,7 @@ _REUSE = f"row_number() over (partition by {s.norm('response')} order by pos)"
 
 @query(f"select pair_id, r <= 3 as kept from (select pair_id, {_REUSE} as r from sft_pairs)")
 def pairs_cap_reuse(spark, d):
-    kept, dropped = dedup.cap_reuse(_pairs(spark, d).select("pair_id", "pos", "response"), "response", 3, [F.col("pos")])
+    kept, dropped = dedup.cap_reuse(_texts(spark, d).select("pair_id", "pos", "response"), "response", 3, [F.col("pos")])
     return kept.select("pair_id", F.lit(True).alias("kept")).unionByName(dropped.select("pair_id", F.lit(False).alias("kept")))
 
 
@@ -204,13 +210,13 @@ _BASE, _POINTS, _FAILS, _HARD = _rule_sql()
 @query(f"select pair_id, {_POINTS} as score, array_to_string({_FAILS}, ',') as fails, array_to_string({_HARD}, ',') as hard from {_BASE}")
 def pairs_quality_rules(spark, d):
     """The rules of a pair's quality but for the one that compiles code."""
-    a = rules.annotate(_pairs(spark, d), with_compiler=False)
+    a = rules.annotate(_texts(spark, d), with_compiler=False)
     return a.select("pair_id", F.col("score_hundredths").alias("score"), F.array_join("quality_fails", ",").alias("fails"), F.array_join("quality_hard_fails", ",").alias("hard"))
 
 
 @query()
 def pairs_quality_full(spark, d):
-    return rules.annotate(_pairs(spark, d)).select("pair_id", "quality_score", "quality_reasons", "quality_fails", "quality_hard_fails")
+    return rules.annotate(_texts(spark, d)).select("pair_id", "quality_score", "quality_reasons", "quality_fails", "quality_hard_fails")
 
 
 _CURATED = f"""with a as (select *, {_POINTS} as score, {_FAILS} as fails, {_HARD} as hard, {_KEYED} as k from {_BASE}), b as (select * from a where k = 1),
@@ -220,7 +226,7 @@ _CURATED = f"""with a as (select *, {_POINTS} as score, {_FAILS} as fails, {_HAR
 
 
 def _curated(spark, d):
-    return quality.curate(_pairs(spark, d), 60, 400, 3, with_compiler=False)
+    return quality.curate(_texts(spark, d), 60, 400, 3, with_compiler=False)
 
 
 @query(f"{_CURATED} select pair_id, score from reused where rr <= 3")
@@ -295,7 +301,7 @@ def _v2_sql() -> str:
 @query(_v2_sql())
 def pairs_validate_response(spark, d):
     """Every block counts as one that compiles; pairs_validate_full asks the compiler."""
-    v = rules.validate_response(_pairs(spark, d), F.lit(True))
+    v = rules.validate_response(_texts(spark, d), F.lit(True))
     return v.select("pair_id", F.col("response_hundredths").alias("points"), F.array_join("response_errors", ",").alias("errors"))
 
 
@@ -317,25 +323,25 @@ def _v3_sql(missing: bool) -> str:
 
 @query(_v3_sql(True))
 def pairs_validate_row(spark, d):
-    v = rules.validate_row(_pairs(spark, d), compiles=F.lit(True))
+    v = rules.validate_row(_texts(spark, d), compiles=F.lit(True))
     return v.select("pair_id", F.col("row_hundredths").alias("points"), F.array_join("row_errors", ",").alias("errors"))
 
 
 @query(_v3_sql(False))
 def pairs_validate_row_lenient(spark, d):
-    v = rules.validate_row(_pairs(spark, d), compiles=F.lit(True), code_missing_is_error=False)
+    v = rules.validate_row(_texts(spark, d), compiles=F.lit(True), code_missing_is_error=False)
     return v.select("pair_id", F.col("row_hundredths").alias("points"), F.array_join("row_errors", ",").alias("errors"))
 
 
 @query()
 def pairs_validate_full(spark, d):
-    v = rules.validate_response(_pairs(spark, d))
+    v = rules.validate_response(_texts(spark, d))
     return v.select("pair_id", "valid", "response_hundredths", "response_errors")
 
 
 @query(f"with e as (select coalesce(category, 'unknown') as category, unnest(string_split(errors, ',')) as error from ({_v3_sql(True)}) join sft_pairs using (pair_id)) select category, error, count(*) as n from e where error <> '' group by 1, 2")
 def pairs_error_counts(spark, d):
-    return quality.error_counts(rules.validate_row(_pairs(spark, d), compiles=F.lit(True)), "row_errors")
+    return quality.error_counts(rules.validate_row(_texts(spark, d), compiles=F.lit(True)), "row_errors")
 
 
 _MADE_UP = " + ".join(f"cast(regexp_matches(r, {s.lit('(?i)' + p)}) as int)" for p in rules.MADE_UP)
@@ -345,7 +351,7 @@ _FABRICATED = f"len(list_filter({_MODULES}, lambda m: {s.starts('lower(m)', rule
 
 @query(f"select pair_id, {_MADE_UP} + {_FABRICATED} as n from (select pair_id, coalesce(response, '') as r from sft_pairs)")
 def pairs_hallucinations(spark, d):
-    return _pairs(spark, d).select("pair_id", rules.hallucinations().cast("bigint").alias("n"))
+    return _texts(spark, d).select("pair_id", rules.hallucinations().cast("bigint").alias("n"))
 
 
 def _sum(*conds: str) -> str:
@@ -365,20 +371,20 @@ _PYBLOCKS = s.hits("coalesce(response, '')", "```(?:python)?\\n(.*?)```", 1, "s"
 @query(f"select pair_id, round({_STYLE}, 6) as style, {_sum(_QUOTES, 'length(' + s.strip('r') + ') > 30', s.any_of('r', ('Args:', 'Parameters:', 'Returns:')))} as doc_checks, {_sum(s.count_words('r') + ' >= 20', s.any_of('r', ('**', '- ')) + ' or contains(' + s.strip('r') + ', chr(10))')} as explain_checks, {_sum(_QUOTES, _QUOTES + ' and length(r) > 40', 'regexp_matches(r, ' + s.lit('Args:|Parameters:|:param ') + ')', 'regexp_matches(r, ' + s.lit('Returns:|:returns:|Return:') + ')', 'regexp_matches(r, ' + s.lit('Example[s]?:|>>>') + ')')} * 20 / 100.0 as doc_share from (select pair_id, coalesce(category, '') as c, coalesce(response, '') as r, len({_PYBLOCKS}) as n from sft_pairs)")
 def pairs_style(spark, d):
     """Style checks, with every first block taken as one that compiles."""
-    return _pairs(spark, d).select("pair_id", F.round(rules.style_score(first_compiles=F.lit(True)), 6).alias("style"), rules.docstring_checks().alias("doc_checks"), rules.explain_checks().alias("explain_checks"), rules.docstring_share().alias("doc_share"))
+    return _texts(spark, d).select("pair_id", F.round(rules.style_score(first_compiles=F.lit(True)), 6).alias("style"), rules.docstring_checks().alias("doc_checks"), rules.explain_checks().alias("explain_checks"), rules.docstring_share().alias("doc_share"))
 
 
 @query(f"""select pair_id, case when length(r) < 10 then false when c = 'docstring' then {_QUOTES} when c = 'complete' then {s.any_of('r', ('def ', 'return'))}
     when c = 'bugfix' then {s.any_of('lower(r)', ('fix', 'bug', 'error', 'change', 'replace', 'correct'))} when c = 'explain' then {s.count_words('r')} >= 20 when c = 'unit_test' then contains(r, 'def test_') and contains(r, 'assert') else true end as passed
     from (select pair_id, coalesce(category, '') as c, {s.strip("coalesce(response, '')")} as r from sft_pairs)""")
 def pairs_simple_pass(spark, d):
-    return _pairs(spark, d).select("pair_id", rules.simple_pass().alias("passed"))
+    return _texts(spark, d).select("pair_id", rules.simple_pass().alias("passed"))
 
 
 @query("select pair_id, " + ", ".join(f"len(regexp_extract_all(coalesce(response, ''), {s.lit(p)}, 1, {s.lit(fl)})) as n_{n}" for n, p, fl in (("plain", "```(?:python|py)?\\n(.*?)```", "si"), ("python_only", "```(?:python)?\\n(.*?)```", "s"), ("any_case", "```(?:python)?\\n(.*?)```", "si"))) + " from sft_pairs")
 def pairs_code_blocks(spark, d):
     n = lambda v: F.size(t.blocks("response", v, None, stripped=False)).cast("bigint")
-    return _pairs(spark, d).select("pair_id", n("plain").alias("n_plain"), n("python_only").alias("n_python_only"), n("python_any_case").alias("n_any_case"))
+    return _texts(spark, d).select("pair_id", n("plain").alias("n_plain"), n("python_only").alias("n_python_only"), n("python_any_case").alias("n_any_case"))
 
 
 _F1 = """with p as (select pair_id, unnest(list_transform(regexp_extract_all(coalesce(response, ''), '([a-zA-Z_][a-zA-Z0-9_]*)', 1), lambda x: lower(x))) as w from sft_pairs),
@@ -390,7 +396,7 @@ _F1 = """with p as (select pair_id, unnest(list_transform(regexp_extract_all(coa
 
 @query(_F1)
 def pairs_token_f1(spark, d):
-    return _pairs(spark, d).select("pair_id", F.round(t.token_f1("response", "instruction"), 6).alias("f1"))
+    return _texts(spark, d).select("pair_id", F.round(t.token_f1("response", "instruction"), 6).alias("f1"))
 
 
 # ------------------------------------------------------------------ splits
@@ -460,12 +466,12 @@ def eval_pass_at_k(spark, d):
 
 @query(f"select count(*) as n, sum(e)::bigint as events, round(sum(e) / count(*), 6) as rate from (select {_MADE_UP} + {_FABRICATED} as e from (select coalesce(response, '') as r from sft_pairs))")
 def eval_event_rate(spark, d):
-    return evaluation.event_rate(_pairs(spark, d).select(rules.hallucinations().cast("bigint").alias("e")), F.col("e"))
+    return evaluation.event_rate(_texts(spark, d).select(rules.hallucinations().cast("bigint").alias("e")), F.col("e"))
 
 
 @query(f"with f as ({_F1}), x as (select pair_id, coalesce(category, 'unknown') as category, length(coalesce(response, '')) % 3 = 0 as passed, f1 from sft_pairs join f using (pair_id)) select count(*) filter (category in ('complete', 'unit_test')) as n_coding, round(count(*) filter (category in ('complete', 'unit_test') and passed) / nullif(count(*) filter (category in ('complete', 'unit_test')), 0), 6) as pass_rate, round(avg(f1), 4) as token_f1 from x")
 def eval_coding_rate(spark, d):
-    p = _pairs(spark, d).select(F.coalesce("category", F.lit("unknown")).alias("category"), "response", "instruction", (F.length(F.coalesce("response", F.lit(""))) % 3 == 0).alias("passed"))
+    p = _texts(spark, d).select(F.coalesce("category", F.lit("unknown")).alias("category"), "response", "instruction", (F.length(F.coalesce("response", F.lit(""))) % 3 == 0).alias("passed"))
     r = evaluation.coding_rate(p, "passed", "response", "instruction")
     return r.withColumn("token_f1", F.round("token_f1", 4))
 
@@ -484,7 +490,7 @@ def eval_track_gate(spark, d):
 @query()
 def eval_code_checks(spark, d):
     """Scores of code answers; whether code runs is a column given by whoever runs it, here none does."""
-    p = _pairs(spark, d).where(F.col("category").isin("complete", "bugfix", "unit_test"))
+    p = _texts(spark, d).where(F.col("category").isin("complete", "bugfix", "unit_test"))
     p = p.withColumn("ok", rules.first_block_compiles("response", "python_spaced", "substring"))
     passed, of = rules.code_checks(F.col("category"), "response", F.col("ok"), F.lit(None).cast("boolean"))
     return p.select("pair_id", "category", passed.alias("passed"), of.alias("checks"))
@@ -549,7 +555,7 @@ def retrieval_mean_metrics(spark, d):
 @query(f"{_SIMS}, {_ONE}, g as (select qid, max(s) as top_s from s group by qid), x as (select t.qid, t.did, r.rk, r.s, g.top_s from t join r using (qid, did) join g using (qid)) select qid, did, rk as correct_rank, round(s, 6) as correct_similarity, round(top_s, 6) as top_1_similarity from x where rk > 10 order by qid limit 20")
 def retrieval_errors(spark, d):
     q, c = _vectors(spark, d)
-    return retrieval.errors(retrieval.target_ranks(retrieval.similarities(q, c), _target(q, c)), 10)
+    return retrieval.errors(retrieval.target_ranks(q, c, _target(q, c)), 10)
 
 
 _SHORT = "s2 as (select qid, did, list_cosine_similarity(qv[:32], dv[:32]) as s from q cross join c), r2 as (select *, row_number() over (partition by qid order by round(s, 12) desc, did) as rk from s2)"
@@ -561,8 +567,8 @@ def retrieval_rank_shift(spark, d):
     q, c = _vectors(spark, d)
     target = _target(q, c)
     half = lambda df, v: df.withColumn(v, F.slice(v, 1, 32))
-    before = retrieval.target_ranks(retrieval.similarities(half(q, "qv"), half(c, "dv")), target)
-    return retrieval.rank_shift(before, retrieval.target_ranks(retrieval.similarities(q, c), target))
+    before = retrieval.target_ranks(half(q, "qv"), half(c, "dv"), target)
+    return retrieval.rank_shift(before, retrieval.target_ranks(q, c, target))
 
 
 # ------------------------------------------------------------------ pair building
@@ -749,7 +755,7 @@ def tokens_joined_text(spark, d):
 
 # ------------------------------------------------------------------ code through Python's parser
 def _python_files(spark, d):
-    return table(spark, d, "source_files").where(F.col("file_name").endswith(".py") & F.col("text").isNotNull())
+    return spread(table(spark, d, "source_files").where(F.col("file_name").endswith(".py") & F.col("text").isNotNull()).select("file_id", "file_name", "text"))
 
 
 @query()
