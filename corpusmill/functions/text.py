@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 #: Python's white space, inside a character class (fixed values).
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: What str.splitlines breaks at (fixed values).
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -28,11 +29,15 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def rstrip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"[{SPACE}]+\z", "")
+    return F.rtrim(col(c), F.lit(SPACES))
+
+
+def is_blank(c: Column | str) -> Column:
+    return ~F.rlike(col(c), F.lit(f"[^{SPACE}]"))
 
 
 def norm(c: Column | str) -> Column:
@@ -52,8 +57,9 @@ def split_lines(c: Column | str) -> Column:
 
 
 def count_lines(c: Column | str) -> Column:
-    parts = F.split(col(c), LINE_END, -1)
-    return F.size(parts) - (F.element_at(parts, -1) == "").cast("int")
+    """Line ends, and one more for a last line without."""
+    x = col(c)
+    return F.regexp_count(x, F.lit(LINE_END)) + F.when((x == "") | F.rlike(F.right(x, F.lit(1)), F.lit(f"[{_BREAKS}]")), 0).otherwise(1)
 
 
 def count_newline_parts(c: Column | str) -> Column:

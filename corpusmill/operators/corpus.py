@@ -61,7 +61,7 @@ def candidates(files: DataFrame, spec: Spec, path: str = "rel_path", text: str =
     """
     keep = [key] if key else []
     own = files.select(*keep, F.col(path).alias("rel_path"), F.col(text).alias("__text")).where(wanted_path("rel_path", spec.exclude, spec.prefixes))
-    own = own.where(F.col("__text").isNotNull() & (t.strip("__text") != "") & ~seems_generated("__text"))
+    own = own.where(F.col("__text").isNotNull() & ~t.is_blank("__text") & ~seems_generated("__text"))
     own = own.withColumn("num_lines", t.count_lines("__text")).where(F.col("num_lines").between(spec.least_lines, spec.most_lines))
     if spec.language == "python":
         own = own.withColumn("__f", py_features("__text")).where("__f.functions is not null")

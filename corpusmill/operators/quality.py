@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rules
@@ -30,10 +30,10 @@ def curate(pairs: DataFrame, least_hundredths: int = 68, most_per_category: int
     order = [F.desc("score_hundredths"), F.col(pos)]
     category = F.coalesce("category", F.lit("unknown"))
     if most_per_category > 0:
-        capped = cap_per_group(good, category, order, most_per_category)
-        # where each category first comes up: one row a category
-        first = good.groupBy(category.alias("__c")).agg(F.max(F.struct("score_hundredths", -F.col(pos))).alias("__f")).select("__c", F.col("__f.score_hundredths").alias("__fs"), F.col("__f.col2").alias("__fp"))
-        capped = capped.withColumn("__c", category).join(F.broadcast(first), "__c")
+        # categories in the order of their best rows, told from the rows the cap leaves: no more than the cap a category
+        w = Window.partitionBy("__c")
+        capped = cap_per_group(good, category, order, most_per_category).withColumn("__c", category)
+        capped = capped.withColumn("__f", F.max(F.struct("score_hundredths", (-F.col(pos)).alias("p"))).over(w)).withColumns({"__fs": F.col("__f.score_hundredths"), "__fp": F.col("__f.p")}).drop("__f")
         kept, dropped = cap_reuse(capped, "response", most_same_response, [F.desc("__fs"), F.desc("__fp"), *order], pos)
         kept, dropped = kept.drop("__c", "__fs", "__fp"), dropped.drop("__c", "__fs", "__fp")
     else:
