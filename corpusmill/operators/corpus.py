@@ -94,5 +94,6 @@ def split_by_name(files: DataFrame, validation: DataFrame, test: DataFrame, name
 
 
 def manifest(files: DataFrame, split: str = "split", name: str = "file_name") -> DataFrame:
-    """The names of each split in order: a small listing, one row a split."""
-    return files.where(F.col(name).isNotNull()).groupBy(split).agg(F.sort_array(F.collect_list(name)).alias("file_names"))
+    """(split, file_name) of all named files: a row each, as a split may hold any number of them.  Write it by split; sinks.json_array
+    makes an array of a small one."""
+    return files.where(F.col(name).isNotNull()).select(split, name)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: Bytes of a block of the corpus that is sent to all workers at once.
 BLOCK_BYTES = 64 << 20
 
@@ -31,8 +33,11 @@ def _blocks(corpus: DataFrame, block_bytes: int):
         return
     n = corpus.count()
     blocks = max(1, math.ceil(n * (first.d or 1) * 8 * 1.25 / block_bytes))
+    numbered = corpus.select("did", "dv", F.pmod(F.xxhash64("did"), F.lit(blocks)).cast("int").alias("block"))
+    if blocks > 4:  # each block is then read alone, instead of all rows for each
+        numbered = written(numbered, "corpus-blocks", "block")
     for b in range(blocks):
-        part = corpus if blocks == 1 else corpus.where(F.pmod(F.xxhash64("did"), F.lit(blocks)) == b)
+        part = numbered.where(F.col("block") == b)
         rows = part.select("did", "dv").toPandas().sort_values("did")
         if len(rows):
             yield corpus.sparkSession.sparkContext.broadcast((rows["did"].to_numpy(), _unit(rows["dv"])))

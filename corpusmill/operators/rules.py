@@ -275,6 +275,24 @@ def code_checks(category: Column, response: str, first_compiles: Column, runs: C
     return passed, F.when(category == "complete", F.when(has, 3).otherwise(1)).otherwise(4)
 
 
+def answer_score(response: str = "response", category: str = "category", first_compiles: Column | None = None, runs: Column | None = None) -> Column:
+    """A struct (passed, style, exec_ok) by the scorer of the category; other categories are scored as explanations.
+
+    exec_ok is null where nothing is run: docstrings and explanations.
+    """
+    c = F.coalesce(F.col(category), F.lit(""))
+    code = c.isin("complete", "bugfix", "unit_test")
+    compiled = F.lit(False) if first_compiles is None else first_compiles
+    ran = F.lit(None).cast("boolean") if runs is None else runs
+    met, of = code_checks(c, response, compiled, ran)
+    usable = (F.size(t.blocks(response, "python_spaced", "substring")) > 0) & ((c != "unit_test") | F.contains(F.coalesce(F.col(response), F.lit("")), F.lit("def test_")))
+    ok = usable & F.coalesce(compiled, F.lit(False)) & F.coalesce(ran, F.lit(False))
+    doc, ex = docstring_checks(response), explain_checks(response)
+    return F.when(code, F.struct(ok.alias("passed"), (met / of).alias("style"), ok.alias("exec_ok"))).when(
+        c == "docstring", F.struct((doc == 3).alias("passed"), (doc / 3).alias("style"), F.lit(None).cast("boolean").alias("exec_ok"))
+    ).otherwise(F.struct((ex >= 1).alias("passed"), (ex / 2).alias("style"), F.lit(None).cast("boolean").alias("exec_ok")))
+
+
 def simple_pass(response: str = "response", category: str = "category", parses: Column | None = None) -> Column:
     """Pass or fail by category; short ones fail, other categories pass."""
     r, c = t.strip(F.coalesce(F.col(response), F.lit(""))), F.coalesce(F.col(category), F.lit(""))

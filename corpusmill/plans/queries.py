@@ -119,10 +119,9 @@ def corpus_split_by_name(spark, d):
     return corpus.split_by_name(f, named("validation"), named("test")).select("file_id", "assigned")
 
 
-@query("select split, md5(array_to_string(list_sort(list(file_name)), ',')) as digest, count(*) as n from source_files where file_name is not null group by split")
+@query("select split, file_name from source_files where file_name is not null")
 def corpus_manifest(spark, d):
-    m = corpus.manifest(table(spark, d, "source_files"))
-    return m.select("split", F.md5(F.array_join("file_names", ",")).alias("digest"), F.size("file_names").cast("bigint").alias("n"))
+    return corpus.manifest(table(spark, d, "source_files"))
 
 
 # ------------------------------------------------------------------ dedup, caps
@@ -496,6 +495,29 @@ def eval_code_checks(spark, d):
     return p.select("pair_id", "category", passed.alias("passed"), of.alias("checks"))
 
 
+_DOC3 = _sum(_QUOTES, "length(" + s.strip("r") + ") > 30", s.any_of("r", ("Args:", "Parameters:", "Returns:")))
+_EX2 = _sum(s.count_words("r") + " >= 20", s.any_of("r", ("**", "- ")) + " or contains(" + s.strip("r") + ", chr(10))")
+
+
+@query(f"select pair_id, case when c = 'docstring' then {_DOC3} = 3 else {_EX2} >= 1 end as passed, round(case when c = 'docstring' then {_DOC3} / 3 else {_EX2} / 2 end, 6) as style from (select pair_id, coalesce(category, '') as c, coalesce(response, '') as r from sft_pairs) where c not in ('complete', 'bugfix', 'unit_test')")
+def eval_text_scores(spark, d):
+    """Scores of docstrings and, by the scorer any other category falls back to, of explanations."""
+    p = _texts(spark, d).where(~F.coalesce("category", F.lit("")).isin("complete", "bugfix", "unit_test")).select("pair_id", rules.answer_score().alias("v"))
+    return p.select("pair_id", "v.passed", F.round("v.style", 6).alias("style"))
+
+
+@query("with a as (select split, count(*) as n from sft_pairs group by split) select x.split, case when x.n = 0 then 'inf'::double else round((y.n - x.n) / x.n * 100, 6) end as change from a x cross join (select n from a where split = 'test') y")
+def eval_percent_change(spark, d):
+    a = _pairs(spark, d).groupBy("split").agg(F.count("*").alias("n"))
+    return a.crossJoin(a.where("split = 'test'").select(F.col("n").alias("m"))).select("split", F.round(t.percent_change(F.col("n"), F.col("m")), 6).alias("change"))
+
+
+@query("select count(distinct symbol) as n from retrieval_pairs where unit_type = 'function' and num_lines between 5 and 60 and not starts_with(symbol, '__') and symbol not in ('main', 'setup', 'teardown') and len(queries) > 0")
+def retrieval_unique_functions(spark, d):
+    r = table(spark, d, "retrieval_pairs").where(codeast.public_function() & (F.array_size("queries") > 0))
+    return r.agg(F.countDistinct("symbol").alias("n"))
+
+
 # ------------------------------------------------------------------ retrieval
 def _vectors(spark, d):
     e = table(spark, d, "embeddings")

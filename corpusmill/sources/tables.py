@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,3 +20,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def written(df: DataFrame, name: str, by: str) -> DataFrame:
+    """The rows written once, in a folder for each value of `by`, to the folder all executors share, and read again.
+
+    The session names that folder (spark.checkpoint.dir); a temporary one is taken only where it doesn't.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"corpusmill-{os.getuid()}")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return spark.read.parquet(path)

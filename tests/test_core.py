@@ -235,7 +235,7 @@ def test_retrieval_equals_brute_force(spark):
     df = spark.createDataFrame(docs, "did bigint, dv array<double>")
     q = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 80, 9)], "qid bigint, qv array<double>")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    for size in (1 << 20, 1000):  # one block and several
+    for size in (1 << 20, 2000, 500):  # one block, several, and so many that they are written
         got = defaultdict(list)
         for r in retrieval.top_k(q, df, 5, size).orderBy("qid", "rk").collect():
             got[r.qid].append(r.did)
@@ -353,3 +353,15 @@ def test_queries_and_sql_have_the_same_columns():
     from corpusmill.plans import queries
 
     assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) > 50
+
+
+def test_execution_is_off_unless_allowed(spark):
+    from corpusmill.functions import execution
+
+    with pytest.raises(PermissionError):
+        execution.runs_ok(F.col("c"))
+    assert execution.runs("print(1)") and not execution.runs("raise SystemExit(2)") and not execution.runs("while True: pass", timeout=0.5) and not execution.runs(None)
+    df = spark.createDataFrame([("```python\nx = 1\n```", "complete"), ("```python\nx = (\n```", "complete"), ("no code at all", "complete"), ("- a", "odd")], "response string, category string")
+    df = df.withColumn("ok", rules.first_block_compiles("response", "python_spaced", "substring"))
+    got = [r.v for r in df.select(rules.answer_score(first_compiles=F.col("ok"), runs=F.lit(True)).alias("v")).collect()]
+    assert [(v.passed, round(v.style, 2), v.exec_ok) for v in got] == [(True, 1.0, True), (False, 0.33, False), (False, 0.0, False), (True, 0.5, None)]
