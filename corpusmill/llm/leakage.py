@@ -27,7 +27,12 @@ K1, B = 1.2, 0.75
 
 def words(text: str | None) -> list[str]:
     """Runs of letters, digits and underscores, in lower case."""
-    return " ".join(WORD.findall(text)).lower().split(" ") if text else []
+    if not text:
+        return []
+    if text.isascii():
+        return WORD.findall(text.lower())
+    # lower case after the cut, as some letters become two characters
+    return " ".join(WORD.findall(text)).lower().split(" ")
 
 
 def passages(found: list[str], n: int) -> set[str]:
@@ -62,7 +67,8 @@ class Index:
             low[e] = min(sum(own[t] for t in set(w[i : i + n])) for i in range(len(w) - n + 1)) * 0.999 - 1e-4
         # the block maxima come first: a block is scored only if their sum reaches its smallest bound
         self.most = self.weights.reshape(len(df), blocks, BLOCK).max(axis=2) if blocks else np.zeros((0, 0), np.float32)
-        self.low, self.low_of_block = low, low.reshape(blocks, BLOCK).min(axis=1) if blocks else low
+        self.weights, self.low = self.weights.reshape(len(df), blocks, BLOCK), low.reshape(blocks, BLOCK)
+        self.low_of_block = self.low.min(axis=1) if blocks else low
         self.blocks = blocks
 
     def retrieve(self, found: list[str]) -> list[int]:
@@ -73,13 +79,12 @@ class Index:
         ids = [k for t in set(found) if (k := get(t)) is not None]
         if len(ids) == 0:
             return []
-        open_blocks = np.flatnonzero(self.most[ids].sum(axis=0) >= self.low_of_block)
-        out: list[int] = []
-        for b in open_blocks:
-            at = slice(b * BLOCK, (b + 1) * BLOCK)
-            hit = np.flatnonzero(self.weights[ids, at].sum(axis=0) >= self.low[at])
-            out += [int(b) * BLOCK + int(h) for h in hit]
-        return out
+        open_blocks = np.flatnonzero(np.add.reduce(self.most[ids]) >= self.low_of_block)
+        if not len(open_blocks):
+            return []
+        scores = np.add.reduce(self.weights[ids] if len(open_blocks) == self.blocks else self.weights[np.ix_(ids, open_blocks)])
+        block, place = np.nonzero(scores >= self.low[open_blocks])
+        return (open_blocks[block] * BLOCK + place).tolist()
 
     def leaked(self, text: str | None) -> set[int]:
         """Items of which the text holds a passage."""
