@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rust_syntax
-from .syntax import file_language, grammatical
+from .syntax import file_language, grammatical, rust_tokens
 from .util import arrow_map, plain_language, spread
 
 #: Where the state machine for Python changes state: comments, strings, brackets, the keyword def, line ends.
 _EVENT = re.compile(
-    r"""\#[^\n]*|[rRbBuUfF]{0,2}(?:'''|\"\"\")|[rRbBuUfF]{0,2}'(?:[^'\\\n]|\\(?:.|\n))*'|[rRbBuUfF]{0,2}"(?:[^"\\\n]|\\(?:.|\n))*"|\bdef\b|[()\[\]{}:;]""",
+    r"""\#[^\n]*|[rRbBuUfF]{0,2}'''[^'\\]*(?:(?:\\(?:.|\n)|'(?!''))[^'\\]*)*'''|[rRbBuUfF]{0,2}\"\"\"[^"\\]*(?:(?:\\(?:.|\n)|"(?!""))[^"\\]*)*\"\"\"|(?:'''|\"\"\")|[rRbBuUfF]{0,2}'(?:[^'\\\n]|\\(?:.|\n))*'|[rRbBuUfF]{0,2}"(?:[^"\\\n]|\\(?:.|\n))*"|\bdef\b|[()\[\]{}:;]""",
     re.X,
 )
-_TRIPLE_END = {q: re.compile(r"(?:[^\\]|\\(?:.|\n))*?" + q) for q in ("'''", '"""')}
+_OPEN = ("'''", '"""')
 _BEFORE_DEF = re.compile(r"(?:\A|\n|\r)[ \t\f]*(?:async[ \t]+)?\Z")
 _NAME = re.compile(r"def[ \t]+(\w+)")
 _GAP = re.compile(r"(?:[ \t\f\r\n]|\\\r?\n|\#[^\n]*)*")
@@ -53,27 +53,24 @@ def _docstring(text: str, p: int) -> str:
 def python_functions(text: str) -> list[Function]:
     """Every def of a grammatical Python text, nested and async ones too, with its docstring."""
     out: list[Function] = []
-    p, depth, n = 0, 0, len(text)
-    header: tuple[int, str, int] | None = None
-    while p < n and (m := _EVENT.search(text, p)) is not None:
-        t, p = m[0], m.end()
+    depth = 0
+    header: tuple[int, str] | None = None
+    for m in _EVENT.finditer(text):
+        t = m[0]
         if t == "def":
             if depth == 0 and header is None and (name := _NAME.match(text, m.start())) and _BEFORE_DEF.search(text, max(0, m.start() - 200), m.start()):
-                header = (m.start(), name[1], depth)
+                header = (m.start(), name[1])
+        elif len(t) > 1:
+            if t in _OPEN:  # a string that doesn't end
+                break
         elif t in "([{":
             depth += 1
         elif t in ")]}":
             depth = max(0, depth - 1)
-        elif t == ":":
-            if header is not None and depth == 0:
-                at, name, _ = header
-                out.append((text.count("\n", 0, at) + 1, name, _docstring(text, p), at, _body_end(text, at, p)))
-                header = None
-        elif t.endswith(("'''", '"""')) and t[-3:] in _TRIPLE_END and len(t) <= 5:
-            e = _TRIPLE_END[t[-3:]].match(text, p)
-            if e is None:
-                break
-            p = e.end()
+        elif t == ":" and header is not None and depth == 0:
+            at, name = header
+            out.append((text.count("\n", 0, at) + 1, name, _docstring(text, m.end()), at, _body_end(text, at, m.end())))
+            header = None
     return out
 
 
@@ -105,14 +102,18 @@ def _string_value(t: str) -> str:
     return re.sub(r"\\\s*\n\s*", "", t[1:-1]).replace('\\"', '"').replace("\\n", "\n")
 
 
-def rust_functions(text: str) -> list[Function]:
+def rust_functions(text: str, lexed: tuple | None = None) -> list[Function]:
     """Every fn with a body of a Rust text, with its outer documentation; none inside macro definitions and calls.
 
-    Bodies are delimited by matching brackets.  Raises NotGrammatical if the text has no tokens or unmatched brackets.
+    Bodies are delimited by matching brackets.  Raises NotGrammatical if the text has no tokens or unmatched brackets.  lexed: what
+    syntax.rust_tokens gave for the text.
     """
-    places: list[int] = []
-    toks, kinds = rust_syntax.lex(text, places)
-    match = rust_syntax.brackets(kinds)
+    if lexed is None:
+        places: list[int] = []
+        toks, kinds = rust_syntax.lex(text, places)
+        match = rust_syntax.brackets(kinds)
+    else:
+        toks, kinds, places, match = lexed
     back = {b: a for a, b in match.items()}
     n = len(kinds)
     out: list[Function] = []
@@ -229,9 +230,11 @@ def documented(files: DataFrame | None, pairs: DataFrame | None) -> DataFrame:
                 if not text or not text.strip():
                     continue
                 if tbl == "source_files":
-                    if not grammatical(text, language):
-                        continue
-                    found = functions_of(text, language)
+                    if language == "rust":
+                        lexed = rust_tokens(text)
+                        found = rust_functions(text, lexed) if lexed else []
+                    else:
+                        found = functions_of(text, language) if grammatical(text, language) else []
                 else:
                     found = functions_of(text, language or ("rust" if re.search(r"\bfn\s+\w+\s*[(<]", text) else "python"))[:1]
                     found = [(line, name, doc, s, e) for line, name, _, s, e in found]

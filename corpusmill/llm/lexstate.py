@@ -16,7 +16,8 @@ CHUNK_CHARS = 1 << 14
 #: Python: plain, in ''' or in \"\"\".  Rust: plain, in a string, in a comment of depth 1 to 3, in a raw string of 0 to 3 hashes.
 STATES = {"python": ("", "'''", '"""'), "rust": ("", '"', "/1", "/2", "/3", "r0", "r1", "r2", "r3")}
 _PAIR = {")": "(", "]": "[", "}": "{"}
-_PYTHON = re.compile(r"""\#[^\n]*|'''|\"\"\"|'(?:[^'\\\n]|\\(?:.|\n))*'?|"(?:[^"\\\n]|\\(?:.|\n))*"?|[()\[\]{}]""")
+#: Triple strings that end come whole, those that don't as their quotes.
+_PYTHON = re.compile(r"""\#[^\n]*|'''[^'\\]*(?:(?:\\(?:.|\n)|'(?!''))[^'\\]*)*'''|\"\"\"[^"\\]*(?:(?:\\(?:.|\n)|"(?!""))[^"\\]*)*\"\"\"|'''|\"\"\"|'(?:[^'\\\n]|\\(?:.|\n))*'?|"(?:[^"\\\n]|\\(?:.|\n))*"?|[()\[\]{}]""")
 _RUST = re.compile(r"""//[^\n]*|/\*|(?<![\w'])(?:b|c)?r(\#{0,9})"|"|b?'(?:[^'\\\n]|\\[^\n][^'\n]{0,9})'|[()\[\]{}]""")
 #: How a triple string of Python ends.
 _END = {q: re.compile(r"(?:[^\\]|\\(?:.|\n))*?" + q) for q in ("'''", '"""')}
@@ -26,20 +27,43 @@ _RUST_STRING = re.compile(r'[^"\\]*(?:\\(?:.|\n)[^"\\]*)*"')
 Run = tuple[str, str, str] | None
 
 
+def _run_python(text: str, state: str) -> Run:
+    p = 0
+    if state:
+        m = _END[state].match(text)
+        if m is None:
+            return state, "", ""
+        p = m.end()
+    close: list[str] = []
+    stack: list[str] = []
+    for t in _PYTHON.findall(text, p):
+        if len(t) == 1:
+            if t in "([{":
+                stack.append(t)
+            elif t in ")]}":
+                if not stack:
+                    close.append(t)
+                elif stack.pop() != _PAIR[t]:
+                    return None
+        elif len(t) == 3 and t in _END:
+            return t, "".join(close), "".join(stack)  # all the rest is in the string
+    return "", "".join(close), "".join(stack)
+
+
 def run(text: str, language: str, state: str) -> Run:
     """The run of the lexer over a chunk from one state."""
-    mark = _PYTHON if language == "python" else _RUST
+    if language == "python":
+        return _run_python(text, state)
+    return _run_rust(text, state)
+
+
+def _run_rust(text: str, state: str) -> Run:
     close: list[str] = []
     stack: list[str] = []
     p, n = 0, len(text)
     while True:
         if state:
-            if language == "python":
-                m = _END[state].match(text, p)
-                if m is None:
-                    break
-                p = m.end()
-            elif state == '"':
+            if state == '"':
                 m = _RUST_STRING.match(text, p)
                 if m is None:
                     break
@@ -62,7 +86,7 @@ def run(text: str, language: str, state: str) -> Run:
                 if depth:
                     return (f"/{depth}", "".join(close), "".join(stack)) if depth <= 3 else None
             state = ""
-        m = mark.search(text, p)
+        m = _RUST.search(text, p)
         if m is None:
             break
         t, p = m[0], m.end()
@@ -73,9 +97,6 @@ def run(text: str, language: str, state: str) -> Run:
                 close.append(t)
             elif stack.pop() != _PAIR[t]:
                 return None
-        elif language == "python":
-            if len(t) == 3 and t in _END:
-                state = t
         elif t == "/*":
             state = "/1"
         elif t[-1] == '"':
@@ -151,7 +172,7 @@ def python_statements(text: str) -> list[str]:
 
     Decorators stay with what they decorate and else, elif, except and finally with what they go on.
     """
-    out, start, p, depth, n = [], 0, 0, 0, len(text)
+    out, start, depth, n = [], 0, 0, len(text)
     lines = iter(_statement().finditer(text))
     line = next(lines, None)
     decorated = text.startswith("@")
@@ -168,26 +189,20 @@ def python_statements(text: str) -> list[str]:
                 decorated = text.startswith("@", b)
             line = next(lines, None)
 
-    while p < n:
-        m = _PYTHON.search(text, p)
-        if m is None:
-            break
-        t, p = m[0], m.end()
-        upto(m.start())
-        if t in ("'''", '"""'):
-            e = _END[t].match(text, p)
-            if e is None:
-                return [text]
-            p = e.end()
-        elif t in "([{":
-            depth += 1
-            continue
-        elif t in ")]}":
-            depth = max(0, depth - 1)
-            continue
-        else:
+    for m in _PYTHON.finditer(text):
+        t = m[0]
+        if line is not None and line.start() < m.start():
+            upto(m.start())
+        if len(t) == 1:
+            if t in "([{":
+                depth += 1
+            elif t in ")]}":
+                depth = max(0, depth - 1)
             continue
-        while line is not None and line.start() < p:  # inside the string
+        if len(t) == 3 and t in _END:
+            return [text]
+        p = m.end()
+        while line is not None and line.start() < p and t[0] != "#":  # inside the string
             line = next(lines, None)
     upto(n)
     out.append(text[start:])

@@ -7,6 +7,7 @@ classes decide whether a text is grammatical, so the verdict on a function or st
 
 from __future__ import annotations
 
+import itertools
 import re
 
 KEYWORDS = frozenset(
@@ -90,23 +91,19 @@ def lex(text: str, places: list[int] | None = None) -> tuple[list[str], list[str
     get = _CLASS.get
     if len(_CLASS) > 300_000:
         _CLASS.clear()
-    toks, kinds = [], []
-    for _, t, _ in found:
-        k = get(t, "")
-        if k == "":
-            k = _CLASS[t] = _class(t)
-        if k is not None:
-            toks.append(t)
-            kinds.append(k)
+    every = [get(t, "") for _, t, _ in found]
+    if "" in every:
+        for i, k in enumerate(every):
+            if k == "":
+                t = found[i][1]
+                every[i] = _CLASS[t] = _class(t)
+    kinds = [k for k in every if k is not None]
+    toks = [f[1] for f, k in zip(found, every) if k is not None]
     if "bad" in kinds:
         raise NotGrammatical(f"no token: {toks[kinds.index('bad')][:20]}")
     if places is not None:
-        p = 0
-        for space, t, _ in found:
-            p += len(space)
-            if _CLASS[t] is not None:
-                places.append(p)
-            p += len(t)
+        ends = itertools.accumulate([len(a) + len(t) for a, t, _ in found])
+        places += [e - len(f[1]) for e, f, k in zip(ends, found, every) if k is not None]
     return toks, kinds
 
 

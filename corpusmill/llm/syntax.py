@@ -53,6 +53,20 @@ def _statements_parse(text: str, language: str) -> bool:
     return not rust_syntax.fault(text)
 
 
+def rust_tokens(text: str, size: int = lexstate.CHUNK_CHARS):
+    """(tokens, classes, places, brackets) of a grammatical Rust text, so that they needn't be made again; None if it isn't."""
+    if not lexstate.balanced(text, "rust", size) and rust_syntax.fault(text):
+        return None
+    places: list[int] = []
+    try:
+        toks, kinds = rust_syntax.lex(text, places)
+        match = rust_syntax.brackets(kinds)
+        rust_syntax.Parser(toks, kinds, match).file()
+    except (rust_syntax.NotGrammatical, RecursionError):
+        return None
+    return toks, kinds, places, match
+
+
 def blocks(text: str | None) -> list[tuple[str, str]]:
     """(language, code) of the labelled blocks of an answer."""
     if not text or "```" not in text:
