@@ -97,11 +97,11 @@ def split(files: DataFrame, limits: DataFrame, key: str = "file_id", text: str =
     Null, empty and short texts give no row.  Repeated keys are separate texts.  Only texts over the limit reach Python.
     """
     lim = limits.groupBy(_language(F.col("language")).alias("__l")).agg(F.min("max_chars").alias("__max"), F.max("overlap_chars").alias("__overlap"))
-    other = lim.where("__l = 'other'").select(F.col("__max").alias("__max0"), F.col("__overlap").alias("__overlap0"))
-    own = files.select(F.col(key), F.col(text).alias("__text"), _language(F.col(language)).alias("__l"))
+    other = lim.where("__l = 'other'").select(F.col("__l").alias("__other"), F.col("__max").alias("__max0"), F.col("__overlap").alias("__overlap0"))
+    own = files.select(F.col(key), F.col(text).alias("__text"), _language(F.col(language)).alias("__l"), F.lit("other").alias("__other"))
     # limits: one row a language
     over = (
-        own.join(F.broadcast(lim), "__l", "left").join(F.broadcast(other), F.lit(True), "left")
+        own.join(F.broadcast(lim), "__l", "left").join(F.broadcast(other), "__other", "left")
         .select(key, "__text", F.coalesce("__max", "__max0").alias("__m"), F.coalesce("__overlap", "__overlap0").alias("__o"))
         .where(F.length("__text") > F.col("__m"))
     )
