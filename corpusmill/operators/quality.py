@@ -59,9 +59,9 @@ def average_scores(scored: DataFrame) -> DataFrame:
 
 
 def keep_rate(scored: DataFrame, kept: DataFrame) -> DataFrame:
-    a = scored.agg(F.count("*").alias("n_input"))
-    b = kept.agg(F.count("*").alias("n_kept"))
-    return a.crossJoin(b).withColumn("keep_rate", F.round(F.col("n_kept") / F.greatest(F.lit(1), F.col("n_input")), 4))
+    one = lambda df, i, k: df.select(F.lit(i).alias("i"), F.lit(k).alias("k"))
+    both = one(scored, 1, 0).unionByName(one(kept, 0, 1)).agg(F.coalesce(F.sum("i"), F.lit(0)).alias("n_input"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_kept"))
+    return both.withColumn("keep_rate", F.round(F.col("n_kept") / F.greatest(F.lit(1), F.col("n_input")), 4))
 
 
 def error_counts(df: DataFrame, errors: str) -> DataFrame:
