@@ -32,7 +32,8 @@ def words(text: str | None) -> list[str]:
     if text.isascii():
         return WORD.findall(text.lower())
     # lower case after the cut, as some letters become two characters
-    return " ".join(WORD.findall(text)).lower().split(" ")
+    found = WORD.findall(text)
+    return " ".join(found).lower().split(" ") if found else []
 
 
 def passages(found: list[str], n: int) -> set[str]:
