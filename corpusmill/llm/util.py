@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+SLICE_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -35,8 +38,10 @@ def arrow_map(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterato
     def run(batches):
         def dicts():
             for b in batches:
-                for start in range(0, b.num_rows, 2048):  # keeps what is held as Python objects small
-                    yield b.slice(start, 2048).to_pydict()
+                # keeps what is held as Python objects small: by rows, and by bytes where rows are long
+                step = max(1, min(2048, int(SLICE_BYTES * b.num_rows / max(1, b.nbytes))))
+                for start in range(0, b.num_rows, step):
+                    yield b.slice(start, step).to_pydict()
 
         for out in rows(dicts()):
             arrays = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in target]
