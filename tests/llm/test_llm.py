@@ -414,3 +414,9 @@ def test_registry():
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert {int(re.match(r"p(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
     assert difflib.get_close_matches("p8_ids", queries.QUERIES)
+
+
+def test_english_answer_to_a_german_question(tagger):
+    ask = "Erkläre, was diese Funktion macht.\n\n```python\ndef f(x):\n    return x\n```"
+    code = "```rust\n/**\n * La fonction parcourt la liste et conserve uniquement les éléments.\n */\nfn f() {}\n```"
+    assert tagger.defects([ask, ASK], [" ".join(PROSE), "The function adds up the sizes of all rows.\n\n" + code]) == ["language", None]
