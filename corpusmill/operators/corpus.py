@@ -32,7 +32,7 @@ class Spec:
 
 #: Fixed values.
 RUST = Spec("rust", (".git", "target", "tests", "test", "examples", "docs", "api-reference", "migrations", "v2_migrations", "v2_compatible_migrations", "cypress-tests", "loadtest", "monitoring", "scripts"), ("crates/",), 25, 4000)
-PYTHON = Spec("python", (".git", ".venv", "__pycache__", "tests", "test", "docs", "examples", "build", "dist", "benchmark", "scripts", "experimental", "playground", "tools"), ("verl/",), 20, 3500)
+PYTHON = Spec("python", (".git", ".venv", "__pycache__", "tests", "test", "docs", "examples", "build", "dist", "benchmark", "scripts", "experimental", "playground", "tools"), (), 20, 3500)
 
 
 def wanted_path(path: Column | str, exclude: tuple[str, ...], prefixes: tuple[str, ...] = ()) -> Column:
