@@ -17,11 +17,12 @@ _SPACE = re.compile(r"\s+")
 
 def code_lines(text: str, language: str) -> list[str]:
     """Lines without white space; blank lines and comment lines left out."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
     if language != "python" and "/*" in text:
         text = _BLOCK.sub("", text)
     mark = "#" if language == "python" else "//" if language == "rust" else None
     out = []
-    for line in text.replace("\r", "\n").split("\n"):
+    for line in text.split("\n"):
         if line := _SPACE.sub("", line):
             if mark is None:
                 if line.startswith("//") or line.startswith("#") and not line.startswith(("#[", "#![")):

@@ -250,6 +250,15 @@ def test_code_lines():
     assert split_overlap.code_lines("/* a\n b */\nfn f() { // x\n\n// y\n#[z]\r\n}", "rust") == ["fnf(){//x", "#[z]", "}"]
 
 
+def test_code_lines_of_crlf(spark):
+    lf = "/* a\n * b\n */\nfn f() {\n    /* c */\n    g();\n}\n"
+    for end in ("\r\n", "\r"):
+        assert split_overlap.code_lines(lf.replace("\n", end), "rust") == split_overlap.code_lines(lf, "rust") == ["fnf(){", "g();", "}"]
+    rows = [(1, "a.rs", None, lf.replace("\n", "\r\n"), "test"), (2, "b.rs", None, lf, "train")]
+    df = spark.createDataFrame(rows, "file_id bigint, file_name string, language string, text string, split string")
+    assert [tuple(x) for x in split_overlap.overlaps(df).collect()] == [(1, 2)]
+
+
 # ------------------------------------------------------------------ functions and documentation
 def test_python_functions_equal_ast():
     text = 'class A:\n    @d(x="def q():")\n    async def f(self, a=lambda: 1) -> "x:y":\n        r"""Doc of f\n\n        more"""\n        def g(): "inline doc"\n        return f"def {a}"\ndef h(x: dict[str, int] = {1: 2}):\n    # def no(): pass\n    "a" "b"\ndef i():\n    b"bytes"\n    s = \'\'\'\ndef j():\n    """x"""\n\'\'\'\n'
