@@ -16,6 +16,7 @@ UNIT, PARAGRAPH, LINE, BLANK, NONE = 4, 3, 2, 1, 0
 NAMES = {UNIT: "unit", PARAGRAPH: "paragraph", LINE: "line", BLANK: "blank", NONE: "none"}
 _LINE = re.compile(r"\n(\s*\n)?(?=(\S)?)")
 _BLANK = re.compile(r"(?<=\s)(?=\S)")
+_END = re.compile(r"\n")
 
 
 def boundaries(text: str) -> dict[int, list[int]]:
@@ -42,47 +43,68 @@ def nearest(places: list[int], low: int, high: int, target: int) -> int | None:
     return best
 
 
+def _stops(text: str, lines: list[int], limit: int, overlap: int) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+    """(line ends, weaker places, ranges of any place), ascending, that together leave no gap no piece can span.
+
+    Weaker places, and then any, are allowed only in gaps that no piece can span: one that begins before `limit` can be spanned
+    by the first piece if it ends there too, any other by one that begins `overlap` characters before it.
+    """
+    def wide(stops: list[int]) -> list[tuple[int, int]]:
+        return [(a, b) for a, b in zip([0, *stops], [*stops, len(text)]) if b > limit and b - a > limit - overlap]
+
+    # blank lines in a row are one place, unless they are too many
+    lines = sorted({*lines, *(m.end() for a, b in wide(lines) for m in _END.finditer(text, a, b) if m.end() < b)})
+    weak = [m.start() for a, b in wide(lines) for m in _BLANK.finditer(text, a + 1, b) if m.start() < b]
+    return lines, weak, wide(sorted(lines + weak))
+
+
 def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, strength of the cut at end) of each piece.
 
     Every piece has at most `limit` characters, each begins `overlap` characters before the end of the one before it, and together they
-    cover the text.  The fewest pieces are tried first, with targets of equal length; each target is moved to the nearest of the
-    strongest places from which the rest still fits; where a limit fails there is one more piece.  An overlap of the limit or more is
-    taken as one less than the limit.
+    cover the text.  There are the fewest pieces that cuts at line ends allow; only within lines that no piece can span are cuts at
+    blanks allowed, and only within words that none can, any.  Targets are of equal length; each is moved to the nearest of the
+    strongest places near it, without one to the nearest line end from which the rest still fits, without one to a blank.  An overlap
+    of the limit or more is taken as one less than the limit.
     """
     n = len(text)
     overlap = max(0, min(overlap, limit - 1))
     if n <= limit:
         return [(0, n, UNIT)]
     places = boundaries(text)
-    fewest = -(-(n - overlap) // (limit - overlap))
-    for pieces in range(fewest, n + 2):
-        out, start = [], 0
-        step = (n - overlap) / pieces
-        slack = max(1, int(step / 3))
-        for i in range(1, pieces):
-            target = round(i * step) + overlap
-            # not beyond the limit, not so early that the rest can't hold what is left
-            low = max(start + overlap + 1, target - slack, n - (pieces - i) * (limit - overlap))
-            high = min(start + limit, target + slack, n - 1)
-            if low > high:
+    lines, weak, free = _stops(text, places[LINE], limit, overlap)
+    stops = sorted(lines + weak)
+    # least[k]: the earliest place after which k pieces hold the rest
+    least = [n]
+    while least[-1] > limit:
+        p = least[-1] - (limit - overlap)
+        i = bisect.bisect_left(free, (p, 0)) - 1
+        if i < 0 or p >= free[i][1]:  # not within a range
+            p = stops[bisect.bisect_left(stops, p)]
+        least.append(p)
+    pieces = len(least)
+    out, start = [], 0
+    step = (n - overlap) / pieces
+    slack = max(1, int(step / 3))
+    for i in range(1, pieces):
+        target = round(i * step) + overlap
+        # not beyond the limit, not so early that the rest can't hold what is left
+        low, high = max(start + overlap + 1, least[pieces - i]), min(start + limit, n - 1)
+        end, strength = None, NONE
+        for strength in (UNIT, PARAGRAPH, LINE):
+            end = nearest(places[strength], max(low, target - slack), min(high, target + slack), target)
+            if end is not None:
                 break
-            end, strength = None, NONE
-            for strength in (UNIT, PARAGRAPH, LINE):
-                end = nearest(places[strength], low, high, target)
-                if end is not None:
-                    break
-            if end is None:
-                strength = BLANK
-                end = nearest([m.start() + low for m in _BLANK.finditer(text[low - 1 : high + 1])] if low else [], low, high, target)
-            if end is None:
-                end, strength = min(max(target, low), high), NONE
-            out.append((start, end, strength))
-            start = end - overlap
-        else:
-            if n - start <= limit:
-                return [*out, (start, n, UNIT)]
-    raise AssertionError("one character a piece always fits")
+        aim = min(max(target, low), high)
+        if end is None and (end := nearest(lines, low, high, aim)) is not None:
+            strength = next((s for s in (UNIT, PARAGRAPH) if nearest(places[s], end, end, end) is not None), LINE)
+        if end is None:
+            end, strength = nearest(weak, low, high, aim), BLANK
+        if end is None:
+            end, strength = aim, NONE
+        out.append((start, end, strength))
+        start = end - overlap
+    return [*out, (start, n, UNIT)]
 
 
 def _language(c: Column) -> Column:

@@ -116,6 +116,29 @@ def test_cuts_prefer_units():
     assert len(out) == 2 and text[out[1][0] :].startswith("def b")
 
 
+def test_cuts_at_line_ends_wherever_they_fit():
+    far = "a\n" * 20 + "b" * 50 + "\n" + "c" * 20 + "\n"  # no line end near the middle
+    assert [x[1:] for x in splitting.cuts(far, 80, 0)] == [(40, splitting.LINE), (112, splitting.UNIT)]
+    more = ("d" * 59 + "\n") * 3  # two pieces of 90 are enough, but only three end at line ends
+    assert [x[1] for x in splitting.cuts(more, 100, 0)] == [60, 120, 180]
+    long = "e" * 150 + "\n" + "f\n" * 60  # only the long line is cut
+    assert [x[2] for x in splitting.cuts(long, 100, 0)] == [splitting.NONE, splitting.LINE, splitting.UNIT]
+    r = random.Random(62)
+    for _ in range(400):
+        text = "".join(r.choice("ab ") * r.randint(0, 25) + "\n" * r.randint(1, 3) for _ in range(r.randint(2, 12)))
+        limit, overlap = r.randint(20, 60), r.randint(0, 15)
+        if len(text) <= limit:
+            continue
+        lines = splitting.boundaries(text)[splitting.LINE]
+        held = {p: 1 for p in lines if p <= limit}  # pieces up to a line end, by brute force
+        for p in lines:
+            held.update({q: min(held[p] + 1, held.get(q, 99)) for q in lines if p in held and p < q <= p - overlap + limit})
+        fewest = min((k + 1 for p, k in held.items() if len(text) - p + overlap <= limit), default=None)
+        if fewest:
+            out = splitting.cuts(text, limit, overlap)
+            assert len(out) == fewest and all(x[2] >= splitting.LINE and x[1] in lines for x in out[:-1])
+
+
 # ------------------------------------------------------------------ syntax
 GOOD_RUST = [
     "", "//! doc\n#![allow(x)]\nuse a::{b::*, c as _, self};\n", "fn f<'a, T: Into<Vec<Vec<u8>>> + 'a, const N: usize>(&'a mut self, mut x: &[T; N], (a, b): (u8, u8)) -> impl Fn(u8) -> u8 + 'a where T: ?Sized, for<'b> T: Fn(&'b u8) { x }",
