@@ -21,8 +21,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "source_files")
-    return syntax.rates(syntax.invalid(files, None), files)
+    files, pairs = table(spark, d, "source_files"), table(spark, d, "sft_pairs")
+    return syntax.rates(syntax.invalid(files, None), files).unionByName(syntax.block_rates(syntax.invalid_blocks(pairs), pairs))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

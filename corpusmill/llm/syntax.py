@@ -6,6 +6,7 @@ import ast
 import pickle
 import re
 import warnings
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +89,17 @@ def invalid(files: DataFrame | None, pairs: DataFrame | None, large_chars: int =
     Larger ones are cut into chunks, which are spread over the workers by a salt and summed up there; the summaries of a file are
     reduced, and only a file whose summary is balanced has its statements parsed.
     """
+    return _faults(files, pairs, large_chars, "tbl string, row_id long")
+
+
+def invalid_blocks(pairs: DataFrame, large_chars: int = LARGE_CHARS) -> DataFrame:
+    """(row_id, block_no, language) of the labelled blocks whose code isn't grammatical, counted from 0 in each answer; else as `invalid`."""
+    return _faults(None, pairs, large_chars, "row_id long, block_no integer, language string")
+
+
+def _faults(files: DataFrame | None, pairs: DataFrame | None, large_chars: int, key: str) -> DataFrame:
+    """One row for each key, given as a schema, that has code which isn't grammatical."""
+    keys = T.StructType.fromDDL(key).names
     parts = []
     if files is not None:
         parts.append(files.select(F.lit("source_files").alias("tbl"), F.col("file_id").alias("row_id"), file_language("file_name", "language").alias("language"), "text").where("language is not null"))
@@ -124,7 +136,6 @@ def invalid(files: DataFrame | None, pairs: DataFrame | None, large_chars: int =
     summed = arrow_map(found.repartition(F.xxhash64("tbl", "row_id", "chunk_no")), sum_up, T.StructType([*schema.fields]).add("summary", "binary"))
 
     def reduce(pdf):
-        tbl, i = pdf["tbl"].iloc[0], pdf["row_id"].iloc[0]
         bad = bool(pdf["chunk"].isna().any())
         if not bad:
             for _, block in pdf.sort_values("chunk_no").groupby("block_no"):
@@ -139,9 +150,9 @@ def invalid(files: DataFrame | None, pairs: DataFrame | None, large_chars: int =
                     bad = not _python_parses(text.removeprefix("﻿")) if kind == "python" else bool(rust_syntax.fault(text))
                 if bad:
                     break
-        return pdf.iloc[:1][["tbl", "row_id"]] if bad else pdf.iloc[:0][["tbl", "row_id"]]
+        return pdf.iloc[: int(bad)][keys]
 
-    return summed.groupBy("tbl", "row_id").applyInPandas(reduce, "tbl string, row_id long")
+    return summed.groupBy(*keys).applyInPandas(reduce, key)
 
 
 def rates(found: DataFrame, files: DataFrame) -> DataFrame:
@@ -152,3 +163,18 @@ def rates(found: DataFrame, files: DataFrame) -> DataFrame:
         own.join(bad, "file_id", "left").groupBy("repo", "language")
         .agg(F.count("*").alias("n_files"), F.count("bad").alias("n_invalid")).withColumn("rate", F.round(F.col("n_invalid") / F.col("n_files"), 6))
     )
+
+
+def block_rates(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As `rates`, of the labelled blocks of answers, with those of `invalid_blocks`: n_files counts blocks, blank ones too; repo is `sft_pairs`."""
+    def count(batches):
+        for b in batches:
+            n = Counter(language for text in b["text"] for language, _ in blocks(text))
+            yield {"language": list(n), "n": list(n.values())}
+
+    source = pairs.select(F.col("response").alias("text")).where("text like '%```%'")
+    own = arrow_map(spread(source), count, "language string, n long").groupBy("language").agg(F.sum("n").alias("n_files"))
+    bad = found.groupBy("language").agg(F.count("*").alias("n"))
+    return own.join(bad, "language", "left").select(
+        F.lit("sft_pairs").alias("repo"), "language", "n_files", F.coalesce("n", F.lit(0)).alias("n_invalid"), F.round(F.coalesce("n", F.lit(0)) / F.col("n_files"), 6).alias("rate"),
+    )

@@ -245,6 +245,23 @@ def test_leaks_equal_brute_force(spark):
     assert {r.item_id for r in leakage.leaked_items(leakage.leaks(P, I)).collect()} == {i for i, _ in want}
 
 
+def test_block_rates(spark, tmp_path):
+    from corpusmill.llm.queries import QUERIES
+
+    f = "```"
+    answers = [f"{f}python\nx = (\n{f}\n{f}py\nx = 1\n{f}\n{f}rs\nfn f( {{}}\n{f}", f"{f}PY\nx = " + "1 + " * 90 + f"\n{f}", f"{f}rust\n \n{f}", f"{f}js\nx = (\n{f}", None]
+    pairs = spark.createDataFrame(list(enumerate(answers)), "pair_id bigint, response string")
+    for size in (10, 1 << 18):
+        bad = syntax.invalid_blocks(pairs, size)
+        assert sorted(map(tuple, bad.collect())) == [(0, 0, "python"), (0, 2, "rust"), (1, 0, "python")]
+        assert sorted(tuple(x) for x in syntax.block_rates(bad, pairs).collect()) == [("sft_pairs", "python", 3, 2, 0.666667), ("sft_pairs", "rust", 2, 1, 0.5)]
+    assert syntax.block_rates(syntax.invalid_blocks(pairs.limit(0)), pairs.limit(0)).count() == 0
+    pairs.write.parquet(f"{tmp_path}/sft_pairs.parquet")
+    spark.createDataFrame([(1, "a.py", None, "x = (", "r")], "file_id bigint, file_name string, language string, text string, repo string").write.parquet(f"{tmp_path}/source_files.parquet")
+    got = sorted(tuple(x) for x in QUERIES["p2_rates"](spark, str(tmp_path)).collect())
+    assert got == [("r", "python", 1, 1, 1.0), ("sft_pairs", "python", 3, 2, 0.666667), ("sft_pairs", "rust", 2, 1, 0.5)]
+
+
 # ------------------------------------------------------------------ overlap across splits
 def test_overlaps_equal_brute_force(spark):
     r = random.Random(6)
