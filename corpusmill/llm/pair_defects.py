@@ -3,7 +3,7 @@
 A response is cut into clauses: sentences and lines of prose, code blocks, bare code.  A linear-chain CRF tags each as answer, refusal,
 echo of the instruction, foreign language or unfinished.  Its features are cues of each clause (wording, containment in the instruction,
 language, how it ends, what is left open) and its words.  It is fitted on a bounded sample whose tags come from the surest cues alone; the
-likelihood that a sentence ends where a clause without a stop ends is learned from the same sample.
+likelihood that a sentence ends where a clause without a stop ends is counted over all pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import lexstate
-from .util import arrow_map, bounded_sample, spread
+from .util import arrow_map, bounded_sample, spread, written
 
 #: Pairs the models are fitted on at most, of the smallest hashes of their key, and characters of each at most.
 FIT_ROWS = 4000
@@ -357,28 +357,89 @@ def _tokens(text: str) -> list[str]:
     return ["0" if _SHAPE.match(w) else "x_" if "_" in w else w for w in _WORD.findall(t)]
 
 
-def unfinished(c: Clause, endings: Endings) -> tuple[bool, bool]:
-    """(something is left open, it ends where sentences don't) of a last clause without code."""
+def _looked_up(c: Clause) -> tuple[bool, list[str]]:
+    """(something is left open, the words whose endings else decide) of a last clause without code; no words if nothing is to be decided."""
     t = c.text.rstrip()
     if c.open:
-        return True, False
+        return True, []
     if _STOP.search(t) and t.count("`") % 2 == 0:
-        return False, False
+        return False, []
     if t[-1:] in "([{,—–" or t.count("`") % 2 or t.count("(") > t.count(")") + t.count(":("):
-        return True, False
+        return True, []
     if t[-1:] in ")]}\"'`*|>_" or not t[-1:].isalnum():
-        return False, False
-    words = _tokens(t)
-    if not words:
-        return False, False
+        return False, []
     if any("一" <= ch <= "鿿" or "぀" <= ch <= "ヿ" for ch in t[-3:]):
-        return False, False
-    last = words[-1]
-    if last not in endings.known and last not in ("0", "x_", "q") and len(endings.known) > 200:
+        return False, []
+    return False, _tokens(t)
+
+
+def unfinished(c: Clause, endings: Endings) -> tuple[bool, bool]:
+    """(something is left open, it ends where sentences don't) of a last clause without code."""
+    is_open, words = _looked_up(c)
+    if not words:
+        return is_open, False
+    if words[-1] not in endings.known and words[-1] not in ("0", "x_", "q"):
         return True, False
     return False, endings.rate(words) < 0.12
 
 
+def _finished(own: list[Clause]) -> list[list[str]]:
+    """The words of the finished sentences among a response's clauses."""
+    each = (_tokens(c.text) for k, c in enumerate(own) if not c.code and (_STOP.search(c.text) or k < len(own) - 1) and len(c.text.split()) > 2)
+    return [s for s in each if s]
+
+
+def count_endings(pairs: DataFrame, response: str = "response") -> Endings:
+    """Endings counted over the finished sentences of all responses.
+
+    Only what their unfinished last clauses look up is brought to the driver: an entry or three for each distinct end of such a
+    clause.  The table is therefore one for the same responses.
+    """
+    def count(batches):
+        names = schema.names
+        seen: dict[tuple, list[int]] = {}
+
+        def out():
+            rows = [(*k, *v) for k, v in seen.items()]
+            seen.clear()
+            return dict(zip(names, map(list, zip(*rows)))) if rows else {k: [] for k in names}
+
+        for b in batches:
+            for r in b["__r"]:
+                if says_nothing(r):
+                    continue
+                own = clauses(r)
+                for s in _finished(own):
+                    s = ["", "", *s]
+                    for i in range(2, len(s)):
+                        end = i == len(s) - 1
+                        for k in ((3, s[i - 2], s[i - 1], ""), (2, "", s[i - 1], ""), (1, "", "", s[i])):
+                            e = seen.setdefault(k, [0, 0])
+                            e[0] += end
+                            e[1] += 1
+                if own and not own[-1].code and (words := _looked_up(own[-1])[1]):
+                    seen.setdefault((0, *["", "", "", *words][-3:]), [0, 1])
+            if len(seen) > 200_000:
+                yield out()
+        yield out()
+
+    schema = StructType().add("kind", "integer").add("a", "string").add("b", "string").add("c", "string").add("ends", "long").add("n", "long")
+    key = ["kind", "a", "b", "c"]
+    counted = arrow_map(spread(pairs.select(F.col(response).alias("__r")).where("__r is not null")), count, schema)
+    counted = written(counted.groupBy(*key).agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")), "endings")
+    none = F.lit("")
+    wanted = counted.where("kind = 0").select(F.explode(F.array(
+        F.struct(F.lit(3).alias("kind"), F.col("a").alias("a"), F.col("b").alias("b"), none.alias("c")), F.struct(F.lit(2).alias("kind"), none.alias("a"), F.col("b").alias("b"), none.alias("c")), F.struct(F.lit(1).alias("kind"), none.alias("a"), none.alias("b"), F.col("c").alias("c")),
+    )).alias("k")).select("k.*").distinct()
+    three, two, one = {}, {}, {}
+    for r in counted.where("kind > 0").join(wanted, key, "left_semi").collect():
+        if r.kind == 3:
+            three[r.a, r.b] = [r.ends, r.n]
+        else:
+            (two if r.kind == 2 else one)[r.b or r.c] = [r.ends, r.n]
+    return Endings((three, two, one, {w for w, e in one.items() if e[1] >= 2}))
+
+
 class Tagger:
     """The CRF with its sentence endings."""
 
@@ -576,16 +637,11 @@ def _sure(found: list[Clause], features: list[list[int]]) -> list[int]:
     return out
 
 
-def fit_pairs(pairs: list[tuple[str | None, str]], rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> Tagger:
-    """A tagger fitted on (instruction, response) pairs by gradient ascent of the CRF's likelihood."""
+def fit_pairs(pairs: list[tuple[str | None, str]], rounds: int = 200, rate: float = 0.5, decay: float = 1e-4, endings: Endings | None = None) -> Tagger:
+    """A tagger fitted on (instruction, response) pairs by gradient ascent of the CRF's likelihood; its endings are those of the pairs if none are given."""
     texts = [(i, r) for i, r in pairs if r and not says_nothing(r)]
-    sentences = []
-    for _, r in texts:
-        own = clauses(r)
-        for k, c in enumerate(own):
-            if not c.code and (_STOP.search(c.text) or k < len(own) - 1) and len(c.words or c.text.split()) > 2:
-                sentences.append(_tokens(c.text))
-    endings = Endings.fit([s for s in sentences if s])
+    if endings is None:
+        endings = Endings.fit([s for _, r in texts for s in _finished(clauses(r))])
     n_features = len(CUES) + WORD_BUCKETS
     tagger = Tagger(np.zeros((len(TAGS), n_features)), np.zeros((len(TAGS), len(TAGS))), endings)
     rows, tags = [], []
@@ -644,10 +700,11 @@ def fit_pairs(pairs: list[tuple[str | None, str]], rounds: int = 200, rate: floa
 
 
 def fit(pairs: DataFrame, key: str = "pair_id", fields: tuple[str, str] = ("instruction", "response"), rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Tagger:
-    """A tagger fitted on at most `rows` pairs of at most `chars` characters, those of the smallest hashes of their key."""
+    """A tagger for these pairs: its endings are counted over all of them, its weights fitted on at most `rows` pairs of at most `chars`
+    characters, those of the smallest hashes of their key."""
     a, b = fields
     sample = bounded_sample(pairs, key, [F.col(a).alias("a"), F.col(b).alias("b")], F.length(b).between(1, chars) & (F.coalesce(F.length(a), F.lit(0)) <= chars), rows)
-    return fit_pairs([(r.a, r.b) for r in sample])
+    return fit_pairs([(r.a, r.b) for r in sample], endings=count_endings(pairs, b))
 
 
 def detect(pairs: DataFrame, tagger: Tagger, key: str = "pair_id", fields: tuple[str, str] = ("instruction", "response")) -> DataFrame:
@@ -657,7 +714,7 @@ def detect(pairs: DataFrame, tagger: Tagger, key: str = "pair_id", fields: tuple
     shuffle but that of `spread`.
     """
     a, b = fields
-    held = pairs.sparkSession.sparkContext.broadcast((tagger.emit, tagger.move, tagger.endings.tables))  # bounded by the sample
+    held = pairs.sparkSession.sparkContext.broadcast((tagger.emit, tagger.move, tagger.endings.tables))  # weights of a fixed size, endings that are looked up
     small = pairs.select(F.col(key), F.col(a).alias("__a"), F.col(b).alias("__b"))
 
     def rows(batches):

@@ -395,6 +395,21 @@ def test_defects_table(spark, tagger):
     assert pair_defects.rates(pair_defects.detect(df, tagger), df.drop("defect")).agg(F.sum("n_pairs")).first()[0] == 5
 
 
+def test_endings_of_all_rows(spark):
+    words = [[f"{chr(97 + i % 26)}{'lmnop'[i // 26]}{chr(97 + k)}ing" for k in range(24)] for i in range(60)]
+    rows = [(i, ASK, f"The parts are {' '.join(w)} here. They are {' '.join(w[::-1])} too.") for i, w in enumerate(words)]
+    rows += [(1000 + i, ASK, f"The code handles all of {w[5]}") for i, w in enumerate(words)] + [(2000, ASK, "The code handles all of zzqu")]
+    df = spark.createDataFrame(rows, "pair_id bigint, instruction string, response string")
+    fitted = pair_defects.fit(df, rows=20)  # some 12 of the 60 vocabularies are in the sample
+    assert [tuple(r) for r in pair_defects.detect(df, fitted).collect()] == [(2000, "truncated")]
+    own, all_ = pair_defects.count_endings(df), pair_defects.Endings.fit([s for _, _, r in rows for s in pair_defects._finished(pair_defects.clauses(r))])
+    for _, _, r in rows:
+        last = pair_defects.clauses(r)[-1]
+        assert pair_defects.unfinished(last, own) == pair_defects.unfinished(last, all_)
+    few = pair_defects.Endings.fit([["it", "adds", "the", "rows"]] * 2)  # in a small table too
+    assert pair_defects.unfinished(pair_defects.Clause("It adds the ro"), few) == (True, False)
+
+
 def test_decode_is_the_best_path(tagger):
     import numpy as np
 
