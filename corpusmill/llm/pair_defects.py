@@ -31,6 +31,8 @@ CUES = (
 )
 CUE = {c: i for i, c in enumerate(CUES)}
 WORD_BUCKETS = 1024
+#: The words of a clause weigh as much as this many at most, so that those of long clauses don't outweigh the cues.
+FULL_WORDS = 24
 
 # ---------------------------------------------------------------- languages
 #: Common words told apart by language (fixed lists); scripts tell the others.
@@ -440,6 +442,14 @@ def count_endings(pairs: DataFrame, response: str = "response") -> Endings:
     return Endings((three, two, one, {w for w, e in one.items() if e[1] >= 2}))
 
 
+def _weights(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The weight of each feature, of clauses with so many features: 1, but the words of a long clause share FULL_WORDS."""
+    word = flat >= len(CUES)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    words = np.bincount(owner[word], minlength=len(counts))
+    return np.where(word, np.minimum(1.0, FULL_WORDS / np.maximum(words, 1))[owner], 1.0)
+
+
 class Tagger:
     """The CRF with its sentence endings."""
 
@@ -495,7 +505,7 @@ class Tagger:
                         f.append(CUE["no_end"])
                     f.append(CUE["stop"] if _STOP.search(text) else CUE["no_stop"])
                 bucket = self.bucket
-                for w in c.words[:24]:
+                for w in c.words:
                     b = bucket.get(w)
                     if b is None:
                         if len(bucket) > 200_000:
@@ -514,9 +524,10 @@ class Tagger:
         lengths = np.array([len(r) for r in rows])
         if not len(rows) or lengths.max(initial=0) == 0:
             return [[] for _ in rows]
-        flat = [x for r in rows for f in r for x in f]
-        starts = np.cumsum([0, *(len(f) for r in rows for f in r)])[:-1]
-        scores = np.add.reduceat(self.emit[:, flat], starts, axis=1).T  # clause by tag
+        flat = np.array([x for r in rows for f in r for x in f])
+        counts = np.array([len(f) for r in rows for f in r])
+        starts = np.cumsum([0, *counts])[:-1]
+        scores = np.add.reduceat(self.emit[:, flat] * _weights(flat, counts), starts, axis=1).T  # clause by tag
         first = np.cumsum([0, *lengths])[:-1]
         order = np.argsort(-lengths, kind="stable")
         most, tags = int(lengths.max()), len(TAGS)
@@ -658,6 +669,7 @@ def fit_pairs(pairs: list[tuple[str | None, str]], rounds: int = 200, rate: floa
     counts = np.array([len(f) for r in rows for f in r])
     owner = np.repeat(np.arange(len(counts)), counts)
     starts = np.cumsum([0, *counts])[:-1]
+    weights = _weights(flat, counts)
     first = np.cumsum([0, *lengths])[:-1]
     gold = np.array([t for r in tags for t in r])
     inner = np.ones(len(gold), bool)
@@ -673,7 +685,7 @@ def fit_pairs(pairs: list[tuple[str | None, str]], rounds: int = 200, rate: floa
     n = len(gold)
     lse = lambda x, axis: np.log(np.exp(x - (m := x.max(axis=axis, keepdims=True))).sum(axis=axis)) + m.squeeze(axis)
     for _ in range(rounds):
-        scores = np.add.reduceat(emit[:, flat], starts, axis=1).T
+        scores = np.add.reduceat(emit[:, flat] * weights, starts, axis=1).T
         a, b = np.zeros((n, T)), np.zeros((n, T))
         a[first[live[0]]] = scores[first[live[0]]]
         for s in range(1, most):
@@ -687,7 +699,7 @@ def fit_pairs(pairs: list[tuple[str | None, str]], rounds: int = 200, rate: floa
         p = np.exp(a + b - zs[:, None])
         g = hot - p
         grad = np.zeros_like(emit)
-        np.add.at(grad.T, flat, g[owner])
+        np.add.at(grad.T, flat, g[owner] * weights[:, None])
         grad = grad / n - decay * emit
         after = np.flatnonzero(inner)
         pair = np.exp(a[after - 1][:, :, None] + move[None] + (scores[after] + b[after])[:, None, :] - zs[after][:, None, None])

@@ -410,6 +410,22 @@ def test_endings_of_all_rows(spark):
     assert pair_defects.unfinished(pair_defects.Clause("It adds the ro"), few) == (True, False)
 
 
+def test_all_words_of_a_clause_are_read():
+    import numpy as np
+
+    t = pair_defects.fit_pairs([(ASK, "It adds the rows.")])
+    t.emit[:], t.move[:] = 0, 0
+    late = "the " * 40 + "xylophone " * 20 + "done."
+    _, (f,) = t.cues(ASK, late)
+    assert sum(x >= len(pair_defects.CUES) for x in f) == 61
+    t.emit[pair_defects.FOREIGN, len(pair_defects.CUES) + pair_defects._fold("xylophone")] = 1
+    assert t.decode([[f]]) == [[pair_defects.FOREIGN]]
+    # but together they weigh as 24 words do
+    t.emit[pair_defects.ECHO, pair_defects.CUE["last"]] = 8
+    assert t.decode([[f]]) == [[pair_defects.ECHO]]
+    assert pair_defects._weights(np.array(f), np.array([len(f)])).sum() == pytest.approx(24 + len(f) - 61)
+
+
 def test_decode_is_the_best_path(tagger):
     import numpy as np
 
