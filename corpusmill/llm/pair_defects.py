@@ -9,6 +9,7 @@ likelihood that a sentence ends where a clause without a stop ends is counted ov
 from __future__ import annotations
 
 import ast
+import itertools
 import re
 import warnings
 from collections import Counter
@@ -305,10 +306,8 @@ def says_nothing(response: str | None) -> bool:
     """Null, blank, nothing but marks, or a word for nothing."""
     if response is None:
         return True
-    if len(response) > 400 and not response.isspace():
-        found = _EMPTY_WORDS.findall(_INVISIBLE.sub("", _LABEL.sub(" ", response)))
-        return not found
-    found = _EMPTY_WORDS.findall(_INVISIBLE.sub("", _LABEL.sub(" ", response)).lower())
+    text = _INVISIBLE.sub("", _LABEL.sub(" ", response)).lower()
+    found = [m[0] for m in itertools.islice(_EMPTY_WORDS.finditer(text), 4)]
     return not found or len(found) <= 3 and " ".join(found).rstrip(".") in _NOTHING_LINES
 
 

@@ -380,6 +380,12 @@ def test_pair_defects(tagger, response, want):
     assert tagger.defects([ASK], [response]) == [want]
 
 
+def test_nothing_of_any_length():
+    for n in (395, 400, 401, 5000):
+        assert pair_defects.says_nothing("N/A" + " " * n) and pair_defects.says_nothing("-" * n + "\nnone\n" + "-" * n) and pair_defects.says_nothing("." * n)
+        assert not pair_defects.says_nothing("none of these" + " " * n + "rows") and not pair_defects.says_nothing("adds" + " " * n)
+
+
 def test_pair_language_asked_for(tagger):
     german = "Die Funktion prüft zuerst die Zeilen und gibt danach die Summe zurück."
     assert tagger.defects(["Explain this code. Answer in German.\n```python\nx\n```", "Erkläre, was diese Funktion macht.\n```python\nx\n```", None], [german, german, german]) == [None, None, "language"]
