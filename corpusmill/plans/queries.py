@@ -802,8 +802,9 @@ def code_queries(spark, d):
 
 @query()
 def code_patches(spark, d):
-    """Edits of a unified diff made of each file's first line."""
-    f = table(spark, d, "source_files").where("text is not null and file_name is not null").select("file_id", "file_name", F.get(F.split("text", "\n", 2), F.lit(0)).alias("line"))
-    patch = F.concat(F.lit("diff --git a/x b/x\n--- a/"), F.col("file_name"), F.lit("\n+++ b/"), F.col("file_name"), F.lit("\n@@ -1 +1 @@\n-"), F.col("line"), F.lit("\n+changed"))
+    """Edits of a unified diff of all lines of each file, of which the first is changed."""
+    f = table(spark, d, "source_files").where("text is not null and file_name is not null").select("file_id", "file_name", F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1).alias("lines"))
+    n, rest = F.size("lines").cast("string"), F.transform(F.slice("lines", F.lit(2), F.size("lines")), lambda x: F.concat(F.lit("\n "), x))
+    patch = F.concat(F.lit("diff --git a/x b/x\n--- a/"), F.col("file_name"), F.lit("\n+++ b/"), F.col("file_name"), F.lit("\n@@ -1,"), n, F.lit(" +1,"), n, F.lit(" @@\n-"), F.get("lines", F.lit(0)), F.lit("\n+changed"), F.array_join(rest, ""))
     edits = f.select("file_id", codeast.patch_edits(patch).alias("edits"))
     return edits.select("file_id", F.size("edits").alias("n"), pairs.edits_text("edits").alias("call"))

@@ -365,3 +365,17 @@ def test_execution_is_off_unless_allowed(spark):
     df = df.withColumn("ok", rules.first_block_compiles("response", "python_spaced", "substring"))
     got = [r.v for r in df.select(rules.answer_score(first_compiles=F.col("ok"), runs=F.lit(True)).alias("v")).collect()]
     assert [(v.passed, round(v.style, 2), v.exec_ok) for v in got] == [(True, 1.0, True), (False, 0.33, False), (False, 0.0, False), (True, 0.5, None)]
+
+
+def test_patches_of_all_lines(spark, tmp_path):
+    from corpusmill.plans.queries import QUERIES
+
+    texts = ["only", "a\n\n  b\n- c\n", "".join(f"x{i}\n" for i in range(40)), ""]
+    spark.createDataFrame([(i, "src__a.rs", x) for i, x in enumerate(texts)], "file_id bigint, file_name string, text string").write.parquet(f"{tmp_path}/source_files.parquet")
+    got = {r.file_id: r for r in QUERIES["code_patches"](spark, str(tmp_path)).collect()}
+    assert {i: r.n for i, r in got.items()} == {0: 1, 1: 1, 2: 1, 3: 1}
+    for i, x in enumerate(texts):
+        lines = (x.removesuffix("\n")).split("\n")
+        edit = [{"file": "src__a.rs", "old_str": "\n".join(lines[:30]), "new_str": "\n".join(["changed", *lines[1:30]])}]
+        want = spark.createDataFrame([(edit,)], "e array<struct<file: string, old_str: string, new_str: string>>").select(pairs.edits_text("e")).first()[0]
+        assert got[i].call == want
