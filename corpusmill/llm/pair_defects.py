@@ -107,10 +107,11 @@ _SENTENCE_LIKE = re.compile(r"[A-ZÀ-ÖØ-Þ][\w']* [\w`\"'(]+[^\n]*\Z")
 
 
 class Clause:
-    __slots__ = ("text", "code", "open", "echo", "words")
+    __slots__ = ("text", "code", "open", "echo", "words", "doc")
 
     def __init__(self, text: str, code: bool = False, open: bool = False):
         self.text, self.code, self.open = text, code, open
+        self.doc = False  # a sentence of a docstring or documentation comment
         self.words: list[str] = []
 
 
@@ -264,6 +265,8 @@ def _doc(body: str, doc: re.Match, out: list[Clause]) -> None:
     _prose(inner, out)
     if len(out) == n:
         out.append(Clause(body[:40]))
+    for c in out[n:]:
+        c.doc = True
     if rest.strip():
         _bare(rest, out)
     else:
@@ -608,8 +611,8 @@ def _defect(found: list[Clause], features: list[list[int]], tags: list[int]) ->
     answers = [n for n, t, f in zip(told, tags, features) if t in (ANSWER, FOREIGN, ECHO) and n and CUE["closing"] not in f]
     if REFUSAL in tags and not answers:
         return "refusal"
-    # the tag says so, or each clause's own language does
-    prose = [(n, t == FOREIGN or CUE["foreign"] in f, CUE["native"] in f) for n, c, t, f in zip(told, found, tags, features) if not c.code and t != REFUSAL]
+    # the tag says so, or each clause's own language does; documentation is the code's text, no prose of the answer
+    prose = [(n, t == FOREIGN or CUE["foreign"] in f, CUE["native"] in f) for n, c, t, f in zip(told, found, tags, features) if not c.code and not c.doc and t != REFUSAL]
     foreign, native, total = sum(n for n, x, _ in prose if x), sum(n for n, x, y in prose if y and not x), sum(n for n, _, _ in prose)
     if foreign > native and foreign > 0.5 * total:
         return "language"

@@ -506,3 +506,10 @@ def test_english_answer_to_a_german_question(tagger):
     ask = "Erkläre, was diese Funktion macht.\n\n```python\ndef f(x):\n    return x\n```"
     code = "```rust\n/**\n * La fonction parcourt la liste et conserve uniquement les éléments.\n */\nfn f() {}\n```"
     assert tagger.defects([ask, ASK], [" ".join(PROSE), "The function adds up the sizes of all rows.\n\n" + code]) == ["language", None]
+
+
+def test_documentation_is_no_prose(tagger):
+    ask = "Write the docstring of this function.\n```python\ndef f(x): ...\n```"
+    doc = "Die Funktion prüft zuerst die Zeilen und gibt danach die Summe zurück."
+    own = [f'"""{doc}"""', f'Here is the docstring:\n```python\n"""{doc}"""\n```', f"/// {doc}", doc, f'"""{doc} Wenn das nicht']
+    assert tagger.defects([ask] * 5, own) == [None, None, None, "language", "truncated"]
