@@ -15,7 +15,8 @@ ended.  So the arcs of a state are decided by the last token read, and an arc
 Tables hold the gadgets (left half, right half, time); an arc is unfolded from
 them when it is first asked for and then kept.  A word has exactly one path of
 arcs from start to end, and the labels on it are its tokens; `encode_word` walks
-positions and arcs to find it, `decode` writes the labels' bytes.
+from each place on the path through a table of byte transitions and tests the arcs
+of the tokens it reads, `decode` writes the labels' bytes.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ _SPLIT_ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: Texts above this many characters are encoded piece by piece.
 PIECE_CHARS = 1 << 20
-#: Words kept with their tokens per worker; beyond it the oldest half is dropped.
+#: Words kept with their tokens, and arcs kept, per worker; beyond it the oldest half is dropped.
 MAX_WORDS = 400_000
+MAX_ARCS = 400_000
 DEFAULT_DIR = "/opt/tokenizers"
 
 
@@ -59,7 +61,18 @@ class MergeAutomaton:
         self.gadget: dict[tuple[int, int], int] = {}
         self.arcs: dict[int, bool] = {}
         self.size = n
-        self.longest = max(map(len, ranks))
+        #: transition table over bytes: state * 256 + byte -> state, and the token each state reads
+        self.step: dict[int, int] = {}
+        self.token: list[int] = [-1]
+        for token, i in ranks.items():
+            at = 0
+            for b in token:
+                to = self.step.get(at << 8 | b)
+                if to is None:
+                    to = self.step[at << 8 | b] = len(self.token)
+                    self.token.append(-1)
+                at = to
+            self.token[at] = i
         for i, token in enumerate(self.label):
             if len(token) > 1:
                 self._add(i, token)
@@ -79,6 +92,8 @@ class MergeAutomaton:
         key = x * self.size + y
         found = self.arcs.get(key)
         if found is None:
+            if len(self.arcs) >= MAX_ARCS:
+                _drop_half(self.arcs)
             found = self.arcs[key] = self._arc(x, y, self.size)
         return found
 
@@ -99,23 +114,24 @@ class MergeAutomaton:
 
     def _path(self, word: bytes, before: int) -> list[int]:
         """The labels of the only path that reads the word, by tokens below `before`."""
-        ranks, n = self.ranks, len(word)
+        n, step, token = len(word), self.step, self.token
         whole = before >= self.size
-        # last[p]: the last token of the path that reads the first p bytes
+        # last[p]: the last token of the path that reads the first p bytes; every place has one at most
         last: list[int] = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                y = ranks.get(word[start:end])
-                if y is None or y >= before and len(self.label[y]) > 1:
-                    continue
-                if start == 0:
-                    ok = end - start == 1 or self._made(y)
-                else:
-                    x = last[start]
-                    ok = x >= 0 and (self.arc(x, y) if whole else self._arc(x, y, before))
-                if ok:
-                    last[end] = y
+        for start in range(n):
+            x = last[start]
+            if start and x < 0:
+                continue
+            at = 0
+            for end in range(start, n):
+                to = step.get(at << 8 | word[end])
+                if to is None:
                     break
+                at, y = to, token[to]
+                if y < 0 or last[end + 1] >= 0 or end > start and (y >= before or self.left[y] < 0):
+                    continue
+                if start == 0 or (self.arc(x, y) if whole else self._arc(x, y, before)):
+                    last[end + 1] = y
         out = []
         while n:
             y = last[n]
@@ -126,17 +142,13 @@ class MergeAutomaton:
         out.reverse()
         return out
 
-    def _made(self, y: int) -> bool:
-        return self.left[y] >= 0
-
     def encode_word(self, word: str) -> tuple[int, ...]:
         return tuple(self._path(word.encode("utf-8", "surrogatepass"), self.size))
 
     def _tokens(self, word: str) -> tuple[int, ...]:
         words = self.words
         if len(words) >= MAX_WORDS:
-            for old in list(itertools.islice(words, MAX_WORDS // 2)):
-                del words[old]
+            _drop_half(words)
         found = words[word] = self.encode_word(word)
         return found
 
@@ -163,6 +175,11 @@ class MergeAutomaton:
         return b"".join([self.label[i] for i in ids]).decode("utf-8", "surrogatepass")
 
 
+def _drop_half(kept: dict) -> None:
+    for old in list(itertools.islice(kept, len(kept) // 2)):
+        del kept[old]
+
+
 def split_words(text: str) -> list[str]:
     return _SPLIT_ASCII.findall(text) if text.isascii() and not _ODD.search(text) else _SPLIT.findall(text)
 

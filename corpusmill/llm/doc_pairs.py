@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 import warnings
 
@@ -14,20 +15,37 @@ from . import rust_syntax
 from .syntax import file_language, grammatical, rust_tokens
 from .util import arrow_map, plain_language, spread
 
-#: Where the state machine for Python changes state: comments, strings, brackets, the keyword def, line ends.
+#: Where the state machine for Python changes state: comments, strings, brackets, the keywords def and class, decorators.
 _EVENT = re.compile(
-    r"""\#[^\n]*|[rRbBuUfF]{0,2}'''[^'\\]*(?:(?:\\(?:.|\n)|'(?!''))[^'\\]*)*'''|[rRbBuUfF]{0,2}\"\"\"[^"\\]*(?:(?:\\(?:.|\n)|"(?!""))[^"\\]*)*\"\"\"|(?:'''|\"\"\")|[rRbBuUfF]{0,2}'(?:[^'\\\n]|\\(?:.|\n))*'|[rRbBuUfF]{0,2}"(?:[^"\\\n]|\\(?:.|\n))*"|\bdef\b|[()\[\]{}:;]""",
+    r"""\#[^\n]*|[rRbBuUfF]{0,2}'''[^'\\]*(?:(?:\\(?:.|\n)|'(?!''))[^'\\]*)*'''|[rRbBuUfF]{0,2}\"\"\"[^"\\]*(?:(?:\\(?:.|\n)|"(?!""))[^"\\]*)*\"\"\"|(?:'''|\"\"\")|[rRbBuUfF]{0,2}'(?:[^'\\\n]|\\(?:.|\n))*'|[rRbBuUfF]{0,2}"(?:[^"\\\n]|\\(?:.|\n))*"|\bdef\b|\bclass\b|(?<![^\n\r])[ \t\f]*@|[()\[\]{}:;]""",
     re.X,
 )
 _OPEN = ("'''", '"""')
-_BEFORE_DEF = re.compile(r"(?:\A|\n|\r)[ \t\f]*(?:async[ \t]+)?\Z")
+_BEFORE_DEF = re.compile(r"([ \t\f]*)(?:async[ \t]+)?")
 _NAME = re.compile(r"def[ \t]+(\w+)")
 _GAP = re.compile(r"(?:[ \t\f\r\n]|\\\r?\n|\#[^\n]*)*")
 _INLINE = re.compile(r"(?:[ \t\f]|\\\r?\n)*")
 _STRING = re.compile(r"""([rRbBuUfF]{0,2})(?:'''((?:[^\\]|\\(?:.|\n))*?)'''|\"\"\"((?:[^\\]|\\(?:.|\n))*?)\"\"\"|'((?:[^'\\\n]|\\(?:.|\n))*)'|"((?:[^"\\\n]|\\(?:.|\n))*)")""", re.X)
 
-Function = tuple[int, str, str, int, int]
-"""(line of the keyword, name, documentation, start, end)."""
+Function = tuple[int, str, str, str]
+"""(line of the keyword, name, documentation, code from its first decorator, attribute or qualifier on, without the outer indent)."""
+
+
+def _dedented(text: str, start: int, end: int, indent: str, inside: list[tuple[int, int]]) -> str:
+    """text[start:end] without the indent at each line's beginning; lines that begin inside a string stay as they are.
+
+    inside: (start, end) of the strings over several lines, ascending.
+    """
+    if not indent:
+        return text[start:end]
+    out, k = [], bisect.bisect_left(inside, (start, 0))
+    for line in text[start:end].splitlines(keepends=True):
+        while k < len(inside) and inside[k][1] <= start:
+            k += 1
+        within = k < len(inside) and inside[k][0] < start
+        out.append(line if within else line.removeprefix(indent))
+        start += len(line)
+    return "".join(out)
 
 
 def _docstring(text: str, p: int) -> str:
@@ -52,38 +70,56 @@ def _docstring(text: str, p: int) -> str:
 
 def python_functions(text: str) -> list[Function]:
     """Every def of a grammatical Python text, nested and async ones too, with its docstring."""
-    out: list[Function] = []
+    found: list[tuple] = []
+    inside: list[tuple[int, int]] = []
     depth = 0
-    header: tuple[int, str] | None = None
+    header: tuple[int, int, str, str] | None = None
+    decorated = -1
     for m in _EVENT.finditer(text):
         t = m[0]
         if t == "def":
-            if depth == 0 and header is None and (name := _NAME.match(text, m.start())) and _BEFORE_DEF.search(text, max(0, m.start() - 200), m.start()):
-                header = (m.start(), name[1])
+            start = max(text.rfind("\n", 0, m.start()), text.rfind("\r", 0, m.start())) + 1
+            if depth == 0 and header is None and (name := _NAME.match(text, m.start())) and (before := _BEFORE_DEF.fullmatch(text, start, m.start())):
+                header = (m.start(), decorated if decorated >= 0 else start, before[1], name[1])
+                decorated = -1
+        elif t == "class":
+            if depth == 0:
+                decorated = -1
+        elif t[-1] == "@":
+            if depth == 0 and decorated < 0 and text[: m.start()].rstrip("\r\n")[-1:] != "\\":
+                decorated = m.start()
         elif len(t) > 1:
             if t in _OPEN:  # a string that doesn't end
                 break
+            if "\n" in t:
+                inside.append(m.span())
         elif t in "([{":
             depth += 1
         elif t in ")]}":
             depth = max(0, depth - 1)
         elif t == ":" and header is not None and depth == 0:
-            at, name = header
-            out.append((text.count("\n", 0, at) + 1, name, _docstring(text, m.end()), at, _body_end(text, at, m.end())))
+            found.append((*header, m.end()))
             header = None
+    out, line, counted = [], 1, 0
+    for at, start, indent, name, p in found:
+        line += text.count("\n", counted, at)
+        counted = at
+        out.append((line, name, _docstring(text, p), _dedented(text, start, _body_end(text, at, p, inside), indent, inside).rstrip()))
     return out
 
 
 _LINE_START = re.compile(r"\n([ \t]*)(?=[^\s#])")
 
 
-def _body_end(text: str, at: int, p: int) -> int:
-    """Where the lines indented deeper than the function's own end."""
+def _body_end(text: str, at: int, p: int, inside: list[tuple[int, int]]) -> int:
+    """Where the lines indented deeper than the function's own end; lines inside strings don't count."""
     start = text.rfind("\n", 0, at) + 1
     own = len(text[start:at]) - len(text[start:at].lstrip())
     for m in _LINE_START.finditer(text, p):
         if len(m[1]) <= own:
-            return m.start()
+            k = bisect.bisect_left(inside, (m.end(), 0)) - 1
+            if (k < 0 or inside[k][1] <= m.start()) and text[m.end() : m.end() + 1] not in ")]}":
+                return m.start()
     return len(text)
 
 
@@ -138,14 +174,24 @@ def rust_functions(text: str, lexed: tuple | None = None) -> list[Function]:
                 line += text.count("\n", counted, places[i])
                 counted = places[i]
                 name = toks[i + 1].removeprefix("r#")
-                end = match[j]
-                out.append((line, name, _outer_docs(toks, kinds, back, i), places[i], places[end] + 1))
+                docs, first, above = _outer_docs(toks, kinds, back, i)
+                start, end = places[first], places[match[j]] + 1
+                outer = text.rfind("\n", 0, start) + 1
+                indent = text[outer:start]
+                if indent and not indent.isspace():
+                    indent = ""
+                inside = [(places[k], places[k] + len(toks[k])) for k in range(first, match[j]) if kinds[k] == "s" and "\n" in toks[k]]
+                code = _dedented(text, start if not indent else outer, end, indent, inside)
+                out.append((line, name, docs, "\n".join([*(text[places[a] : places[b] + 1] for a, b in above), code])))
         i += 1
     return out
 
 
-def _outer_docs(toks: list[str], kinds: list[str], back: dict[int, int], fn: int) -> str:
-    """The documentation right before a function, read backwards over its qualifiers, attributes and comments."""
+def _outer_docs(toks: list[str], kinds: list[str], back: dict[int, int], fn: int) -> tuple[str, int, list[tuple[int, int]]]:
+    """(documentation, first token of the function after it, other attributes above it) of a function.
+
+    Read backwards over its qualifiers, attributes and comments.
+    """
     i = fn - 1
     while i >= 0:
         k = kinds[i]
@@ -155,7 +201,9 @@ def _outer_docs(toks: list[str], kinds: list[str], back: dict[int, int], fn: int
             i = back[i] - 1
         else:
             break
+    first = i + 1
     docs: list[str] = []
+    above: list[tuple[int, int]] = []
     while i >= 0:
         k = kinds[i]
         if k == "D":
@@ -165,10 +213,14 @@ def _outer_docs(toks: list[str], kinds: list[str], back: dict[int, int], fn: int
             a = back[i]
             if toks[a + 1] == "doc" and kinds[a + 2] == "=" and kinds[a + 3] == "s":
                 docs.append(_string_value(toks[a + 3]))
+            elif docs:
+                above.append((a - 1, i))
+            else:
+                first = a - 1
             i = a - 2
         else:
             break
-    return "\n".join(reversed(docs)).strip()
+    return "\n".join(reversed(docs)).strip(), first, above[::-1]
 
 
 #: Words with which a text only says that documentation is still to come.
@@ -199,7 +251,7 @@ def functions_of(text: str | None, language: str) -> list[Function]:
     if not text or not text.strip():
         return []
     if language == "python":
-        return python_functions(text.removeprefix("﻿"))
+        return python_functions(text)
     try:
         return rust_functions(text)
     except rust_syntax.NotGrammatical:
@@ -229,6 +281,7 @@ def documented(files: DataFrame | None, pairs: DataFrame | None) -> DataFrame:
             for tbl, i, language, text, doc in zip(b["tbl"], b["row_id"], b["language"], b["text"], b["doc"]):
                 if not text or not text.strip():
                     continue
+                text = text.removeprefix("\ufeff")
                 if tbl == "source_files":
                     if language == "rust":
                         lexed = rust_tokens(text)
@@ -237,10 +290,10 @@ def documented(files: DataFrame | None, pairs: DataFrame | None) -> DataFrame:
                         found = functions_of(text, language) if grammatical(text, language) else []
                 else:
                     found = functions_of(text, language or ("rust" if re.search(r"\bfn\s+\w+\s*[(<]", text) else "python"))[:1]
-                    found = [(line, name, doc, s, e) for line, name, _, s, e in found]
-                for line, name, own, s, e in found:
+                    found = [(line, name, doc, code) for line, name, _, code in found]
+                for line, name, own, code in found:
                     if not trivial(own, name):
-                        for k, v in zip(out, (tbl, i, line, name, text[s:e], own.strip())):
+                        for k, v in zip(out, (tbl, i, line, name, code, own.strip())):
                             out[k].append(v)
             yield out
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .util import arrow_map, spread
+from .util import arrow_map
 
 #: Strengths of a cut before a place: a new top-level unit after a blank line, a blank line before it, a line, a blank, none.
 UNIT, PARAGRAPH, LINE, BLANK, NONE = 4, 3, 2, 1, 0
@@ -116,15 +116,15 @@ def split(files: DataFrame, limits: DataFrame, key: str = "file_id", text: str =
 
     (key, piece_no from 0, start, end, boundary, forced, piece): forced is 1 for all pieces of a text if one of its lines alone, between
     line feeds, is longer than the limit.  A language without a limit, and null, takes that of `other`; without that the text is left out.
-    Null, empty and short texts give no row.  Repeated keys are separate texts.  Only texts over the limit reach Python.
+    Null, empty and short texts give no row.  Repeated keys are separate texts.  Only texts over the limit reach Python.  The limits are
+    joined as their size allows.
     """
     lim = limits.groupBy(_language(F.col("language")).alias("__l")).agg(F.min("max_chars").alias("__max"), F.max("overlap_chars").alias("__overlap"))
-    other = lim.where("__l = 'other'").select(F.col("__l").alias("__other"), F.col("__max").alias("__max0"), F.col("__overlap").alias("__overlap0"))
-    own = files.select(F.col(key), F.col(text).alias("__text"), _language(F.col(language)).alias("__l"), F.lit("other").alias("__other"))
-    # limits: one row a language
+    # one row at most, so no join is needed for what falls back to it
+    other = lim.where("__l = 'other'").select(F.struct("__max", "__overlap")).scalar()
     over = (
-        own.join(F.broadcast(lim), "__l", "left").join(F.broadcast(other), "__other", "left")
-        .select(key, "__text", F.coalesce("__max", "__max0").alias("__m"), F.coalesce("__overlap", "__overlap0").alias("__o"))
+        files.select(F.col(key), F.col(text).alias("__text"), _language(F.col(language)).alias("__l")).join(lim, "__l", "left")
+        .select(key, "__text", F.coalesce(F.col("__max"), other["__max"]).alias("__m"), F.coalesce(F.col("__overlap"), other["__overlap"]).alias("__o"))
         .where(F.length("__text") > F.col("__m"))
     )
 

@@ -1,10 +1,7 @@
-"""Helpers of this subpackage: reading tables, spreading rows over cores, Python maps over Arrow batches."""
+"""Helpers of this subpackage: Python maps over Arrow batches, labels, bounded samples."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,21 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.tables import read_table as table
+from ..sources.tables import spread, written
 
-SLICE_BYTES = 16 << 20
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+__all__ = ["arrow_map", "bounded_sample", "plain_language", "spread", "table", "written"]
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over at least as many partitions as there are cores: a table of few files or row groups would leave cores idle.
-
-    A table of enough partitions, as any large one is, stays as it is and isn't shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+#: Bytes of an Arrow batch that are held as Python objects at once.
+SLICE_BYTES = 16 << 20
 
 
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str | StructType) -> DataFrame:
@@ -57,22 +46,6 @@ def _arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(kind)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"corpusmill-{os.getuid()}")
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read again: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def plain_language(language: Column, file_name: Column | None = None) -> Column:
     """A label in lower case, without outer blanks and region; py and rs in full; else by the file's ending; else unknown."""
     own = F.regexp_replace(F.regexp_replace(F.lower(language), r"^\s+|\s+$", ""), r"[-_].*$", "")

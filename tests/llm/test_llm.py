@@ -513,3 +513,36 @@ def test_documentation_is_no_prose(tagger):
     doc = "Die Funktion prüft zuerst die Zeilen und gibt danach die Summe zurück."
     own = [f'"""{doc}"""', f'Here is the docstring:\n```python\n"""{doc}"""\n```', f"/// {doc}", doc, f'"""{doc} Wenn das nicht']
     assert tagger.defects([ask] * 5, own) == [None, None, None, "language", "truncated"]
+
+
+def test_repeated_long_rows_count_each(spark):
+    rows = [("d", 1, "s", "l", "x", "one two three " * 40)] * 2 + [("d", 1, "s", "l", "x", "a b")] * 2
+    df = spark.createDataFrame(rows, "tbl string, row_id bigint, source string, language string, domain string, text string")
+    for size in (50, 1 << 20):
+        got = sorted(tuple(r) for r in token_budget.budget(token_budget.document_tokens(df, size)).collect())
+        assert got == [("d", "s", "l", "x", 4, 2 * len(bpe.automaton(bpe.rank_file()).encode("one two three " * 40)) + 4)]
+
+
+def test_code_of_functions_is_whole():
+    text = "\ufeffclass A:\n    @deco(\n        1,\n    )\n    async def f(self):\n        '''Doc\n    of f'''\n        return x @ y\n\n    def g(self): pass\n\n@a\nclass B:\n  def h(): return '''\n0'''\n"
+    found = {name: code for _, name, _, code in doc_pairs.python_functions(text.removeprefix("\ufeff"))}
+    assert found["f"] == "@deco(\n    1,\n)\nasync def f(self):\n    '''Doc\n    of f'''\n    return x @ y"
+    assert found["g"] == "def g(self): pass" and found["h"] == "def h(): return '''\n0'''"
+    for code in found.values():
+        ast.parse(code)
+    rust = "impl A {\n    #[cold]\n    /// Doc of f.\n    #[inline]\n    pub async unsafe fn f() {\n        let s = \"a\n    b\";\n    }\n}\n"
+    assert [x[3] for x in doc_pairs.rust_functions(rust)] == ["#[cold]\n#[inline]\npub async unsafe fn f() {\n    let s = \"a\n    b\";\n}"]
+
+
+def test_deep_indent_is_no_bar():
+    text = "if 1:\n" + " " * 300 + "def f():\n" + " " * 301 + '"""Return all that is known."""\n'
+    assert [x[:3] for x in doc_pairs.python_functions(text)] == [(2, "f", "Return all that is known.")]
+
+
+def test_arcs_and_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_ARCS", 50)
+    monkeypatch.setattr(bpe, "MAX_WORDS", 20)
+    a = bpe.MergeAutomaton(bpe.load_ranks(bpe.rank_file()))
+    text = " ".join(f"word{i} naïve{i}" for i in range(200))
+    assert a.encode(text) == bpe.automaton(bpe.rank_file()).encode(text)
+    assert len(a.arcs) <= 50 and len(a.words) <= 20
