@@ -546,3 +546,28 @@ def test_arcs_and_words_are_bounded(monkeypatch):
     text = " ".join(f"word{i} naïve{i}" for i in range(200))
     assert a.encode(text) == bpe.automaton(bpe.rank_file()).encode(text)
     assert len(a.arcs) <= 50 and len(a.words) <= 20
+
+
+def test_repeated_long_files_stand_apart(spark):
+    good = "".join(f"def f{i}(x):\n    return '''\n# (\n''' + str({{x: [{i}]}})\n\n@d\n# c\ndef g{i}(): pass\n" for i in range(40))
+    rows = [(1, "a.py", None, good), (1, "a.py", None, good), (2, "b.py", None, good + "x = (\n"), (2, "b.py", None, good), (3, "c.py", None, good.replace("pass", "pass pass", 1)), (4, "d.py", None, "x = [\n" + "1,\n" * 900 + "]\n"), (5, "e.py", None, "x = [\n" + "1,\n" * 900 + "2 3]\n")]
+    rust = "".join(f"/// doc {i}\n#[inline] // note;\npub fn f{i}() {{ let s = r#\"(\"#; /* {{ */ }}\n\nconst A{i}: T = S {{ a: '{{' }};\n" for i in range(40))
+    rows += [(6, "a.rs", None, rust), (6, "a.rs", None, rust), (7, "b.rs", None, rust + "fn f( {}\n"), (8, "c.rs", None, rust.replace("};", "}", 1)), (9, "d.rs", None, rust + "/* ")]
+    files = spark.createDataFrame(rows, "file_id bigint, file_name string, language string, text string")
+    for large in (40, 300, 2000, 1 << 20):
+        got = sorted(r.row_id for r in syntax.invalid(files, None, large).collect())
+        assert got == [2, 3, 5, 7, 8, 9], large
+
+
+def test_f_strings_and_line_ends():
+    for x in ('x = f"{d["a("]}"\n', "x = f'{f'{1}'}('\n", 'x = f"{a!r:>{w}} {{ ("\n', 'x = f"""{\n y["("]\n}"""\n', "x = 'a\\\r\nb('\r\n", "# c\rx = 1\r"):
+        for size in (3, 1 << 14):
+            assert syntax.grammatical(x, "python", size) == syntax._python_parses(x), x
+    assert not syntax.grammatical('x = f"{(}"\n', "python")
+
+
+def test_items_are_cut_apart():
+    text = "use a;\nfn f() { }\n// note;\n#[a] // b;\nfn g() {}\npub // why;\nfn h() {}\n/// doc\nfn i() {}\n//! no\nconst A: T = S { };\nstatic B: u8 = 1;\n"
+    run, cuts = lexstate.scan(text, "rust", "")
+    assert run == lexstate.BALANCED
+    assert [x.split()[0] for x in lexstate.pieces(text, cuts)] == ["use", "fn", "#[a]", "pub", "///", "static"]
