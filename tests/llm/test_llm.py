@@ -571,3 +571,23 @@ def test_items_are_cut_apart():
     run, cuts = lexstate.scan(text, "rust", "")
     assert run == lexstate.BALANCED
     assert [x.split()[0] for x in lexstate.pieces(text, cuts)] == ["use", "fn", "#[a]", "pub", "///", "static"]
+
+
+def test_long_placeholders_are_seen():
+    for n in (10, 100, 400):
+        parts, _, _ = residue.segments("Dear {{ " + "x" * n + " }}, welcome to [your " + "y" * n + "].")
+        assert parts == [f"dear {residue.MARK}, welcome to {residue.MARK}."]
+
+
+def test_form_shows_templates_and_stubs():
+    assert residue.form(*residue.segments("Hello {{a}}, this is {{b}}.\nSent on {{c}}.\nA plain sentence.")[:2]) == "template"
+    assert residue.form(*residue.segments("# A\n\nsoon\n\n# B\n\nlater on\n")[:2]) == "stub"
+    assert residue.form(*residue.segments("# A\n\nThe sizes of all rows are added up here.\n\n# B\n\nlater\n")[:2]) == ""
+    assert residue.form([], []) == ""
+
+
+def test_residue_learns_from_company():
+    known = "The requested URL /index.html was not found on this server."
+    odd = "Zurpel quax brindled vompts."
+    docs = [f"{known}\n{odd}" for _ in range(4)] + [" ".join(PROSE[i:] + PROSE[:i]) for i in range(len(PROSE))] * 100
+    assert residue.Model.fit(docs).coverage(odd)[0] == 1.0 and residue.Model.fit(docs[4:]).coverage(odd)[0] == 0.0
