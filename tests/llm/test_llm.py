@@ -590,4 +590,5 @@ def test_residue_learns_from_company():
     known = "The requested URL /index.html was not found on this server."
     odd = "Zurpel quax brindled vompts."
     docs = [f"{known}\n{odd}" for _ in range(4)] + [" ".join(PROSE[i:] + PROSE[:i]) for i in range(len(PROSE))] * 100
-    assert residue.Model.fit(docs).coverage(odd)[0] == 1.0 and residue.Model.fit(docs[4:]).coverage(odd)[0] == 0.0
+    score = lambda own: residue.Model.fit(own).scores([odd.lower()])[0][0]
+    assert residue.Model.fit(docs).coverage(odd)[0] == 1.0 and score(docs) > 2 * max(0.0, score(docs[4:]))
