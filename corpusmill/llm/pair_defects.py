@@ -2,17 +2,22 @@
 
 A response is cut into clauses: sentences and lines of prose, code blocks, bare code.  A linear-chain CRF tags each as answer, refusal,
 echo of the instruction, foreign language or unfinished.  Its features are cues of each clause (wording, containment in the instruction,
-language, how it ends, what is left open) and its words.  It is fitted on a bounded sample whose tags come from the surest cues alone; the
-likelihood that a sentence ends where a clause without a stop ends is counted over all pairs.
+language, how it ends, what is left open), and its words.  It is fitted on examples made from a bounded sample of the pairs:
+whole responses, responses cut off, instructions given back, responses in another language than was asked in, and refusals of
+fixed parts.  Its tags alone, by what they cover, make the defect.  The likelihood that a sentence ends where a clause without a stop
+ends, one of the cues, is counted over all pairs.
 """
 
 from __future__ import annotations
 
 import ast
 import itertools
+import math
+import random
 import re
 import warnings
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +30,8 @@ from .util import arrow_map, bounded_sample, spread, written
 #: Pairs the models are fitted on at most, of the smallest hashes of their key, and characters of each at most.
 FIT_ROWS = 4000
 FIT_CHARS = 20_000
+#: A pair taken as an answer is left out of the second fit if a clause has this chance of another tag.
+DOUBT = 0.2
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 CUES = (
@@ -279,9 +286,9 @@ def _doc(body: str, doc: re.Match, out: list[Clause]) -> None:
 _REFUSAL = re.compile(
     r"\b(?:I|we)(?:'m| am| are|'re)?\s+(?:\w+\s+){0,3}?(?:can't|cannot|can not|won't|will not|(?:am |are )?unable to|not able to|not allowed to|not permitted to|not comfortable|must refrain|must decline|have to (?:decline|refrain|pass)|decline to|refuse to|do not have access|don't have access|couldn't|could not|do not feel|don't feel|prefer not to|would rather not)"
     r"(?!\s+(?:see|find|tell|spot|think|know|recommend|stress|guarantee|be sure|imagine)\b)"
-    r"|\bI(?:'m| am)\s+(?:\w+\s+){0,2}?(?:unable|not able|not allowed|not permitted|not in a position)\b|\bthere is no way for me to\b|\bwithout (?:them|it|that) I will not\b|\bI (?:have|must) to? ?(?:decline|refrain)\b|\b(?:I'?m|I am) (?:very |so )?sorry,? (?:but|however)\b|\bI apologi[sz]e,? (?:but|however|for)\b|\bsorry, (?:but )?(?:I|there|this|we|that)\b"
-    r"|\bI(?:'d| would) (?:rather|prefer) not\b|\bno (?:answer|response|help|explanation) can be (?:given|provided)\b|\b(?:outside|beyond) (?:of )?what I (?:can|am able to)\b|\bnot something I (?:can|am able|will)\b|\bI (?:will|must|shall) (?:have to )?pass on\b|\b(?:cannot|can't|can not) be (?:answered|discussed) (?:here|by me)\b"
-    r"|\bas an? (?:ai|assistant|language model|large language)\b|\bagainst my (?:guidelines|policy|policies|principles|rules)\b|\bmy (?:guidelines|policy|policies|principles|rules|instructions) (?:prevent|forbid|prohibit|do not (?:allow|permit)|don't (?:allow|permit))|\bbeyond (?:my|what I can)\b"
+    r"|\bI(?:'m| am)\s+(?:\w+\s+){0,2}?(?:unable|not able|not allowed|not permitted|not in a position)\b|\bI (?:have|must) to? ?(?:decline|refrain)\b|\b(?:I'?m|I am) (?:very |so )?sorry,? (?:but|however)\b|\bI apologi[sz]e,? (?:but|however|for)\b|\bsorry, (?:but )?(?:I|there|this|we|that)\b"
+    r"|\bI(?:'d| would) (?:rather|prefer) not\b|\bnot something I (?:can|am able|will)\b|\bI (?:will|must|shall) (?:have to )?pass on\b|\b(?:cannot|can't|can not) be (?:answered|discussed) (?:here|by me)\b"
+    r"|\bno (?:answer|response|help|explanation) can be (?:given|provided)\b|\bas an? (?:ai|assistant|language model|large language)\b|\bagainst my (?:guidelines|policy|policies|principles|rules)\b|\bmy (?:guidelines|policy|policies|principles|rules|instructions) (?:prevent|forbid|prohibit|do not (?:allow|permit)|don't (?:allow|permit))|\bbeyond (?:my|what I can)\b"
     r"|\b(?:es )?tut mir (?:leid|sehr leid)\b|\b(?:kann|darf|möchte) ich (?:\w+ ){0,3}nicht\b|\bich (?:kann|darf|möchte|werde) (?:\w+ ){0,5}nicht\b|\bje (?:ne (?:peux|suis|saurais|pourrai)|suis désolée?|refuse|regrette)\b|\bdésolée?, (?:mais|je)\b|\blo siento\b|\bno (?:puedo|podré|me es posible)\b|\bdesculpe\b|\bnão (?:posso|consigo)\b|\bmi dispiace\b|\bnon posso\b|не могу|извините|抱歉|无法(?:回答|提供|帮助|协助)|我不能|申し訳",
     re.I,
 )
@@ -291,7 +298,7 @@ _REFUSAL_WORDS = frozenset(
 )
 _DISTANT_WORDS = frozenset("sorry apologise apologize unfortunately regrettably hmm cannot unable decline refrain refuse".split())
 _CLOSING = re.compile(
-    r"^(?:is there anything else|could you (?:please )?(?:try|provide|share|ask|rephrase)|please (?:share|provide|try|ask|rephrase|consult|contact|send|let me)|this goes against|let me know if|feel free to|if you (?:share|provide|have|need|want)|perhaps you could|can I help (?:you )?with|thank you for (?:your )?understanding|thanks for (?:your )?understanding|I hope you understand|would you like (?:me )?to|how else can I|try (?:a|an)other|I(?:'d| would) be (?:happy|glad)|I may look again|gibt es sonst|kann ich sonst|puis-je vous aider|hay algo más)\b",
+    r"^(?:is there anything else|could you (?:please )?(?:try|provide|share|ask|rephrase)|please (?:share|provide|try|ask|rephrase|consult|contact|send|let me)|let me know if|feel free to|if you (?:share|provide|have|need|want)|perhaps you could|can I help (?:you )?with|thank you for (?:your )?understanding|thanks for (?:your )?understanding|I hope you understand|would you like (?:me )?to|how else can I|try (?:a|an)other|I(?:'d| would) be (?:happy|glad)|gibt es sonst|kann ich sonst|puis-je vous aider|hay algo más)\b",
     re.I,
 )
 _NOTHING = frozenset("n/a na n.a. none null nil nan empty no answer nothing response undefined void blank not applicable available keine antwort rien nada ninguna respuesta tbd unknown missing".split())
@@ -452,6 +459,20 @@ def _weights(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(word, np.minimum(1.0, FULL_WORDS / np.maximum(words, 1))[owner], 1.0)
 
 
+#: Weights the fit starts from and is drawn back to: what each cue says of a clause before any example is seen.
+PRIOR = {
+    ("bias", ANSWER): 3.0, ("bias", UNFINISHED): -6.0, ("last", UNFINISHED): 6.0, ("open", UNFINISHED): 9.0, ("no_end", UNFINISHED): 9.0, ("echo", ECHO): 6.0,
+    ("foreign", FOREIGN): 6.0, ("refusal", REFUSAL): 6.0, ("closing", REFUSAL): 2.0, ("code", REFUSAL): -6.0, ("code", FOREIGN): -6.0,
+}
+
+
+def _prior() -> np.ndarray:
+    out = np.zeros((len(TAGS), len(CUES) + WORD_BUCKETS))
+    for (cue, tag), w in PRIOR.items():
+        out[tag, CUE[cue]] = w
+    return out
+
+
 class Tagger:
     """The CRF with its sentence endings."""
 
@@ -488,7 +509,7 @@ class Tagger:
                 if len(c.words) < 4:
                     f.append(CUE["short"])
                 own = language(text, 2 if len(c.words) > 3 or not text.isascii() else 3)
-                if own and wanted:
+                if own and wanted and not c.doc:  # documentation is the code's text
                     f.append(CUE["native"] if own in wanted else CUE["foreign"])
                 own_words = set(c.words)
                 if not own_words.isdisjoint(_DISTANT_WORDS) or "can" in own_words and "t" in own_words or "not" in own_words and "allowed" in own_words:
@@ -593,79 +614,139 @@ def _fold(w: str) -> int:
 
 
 def _defect(found: list[Clause], features: list[list[int]], tags: list[int]) -> str | None:
-    # a refusal needs a cue of one; else words alone made it
-    cues = (CUE["refusal"], CUE["closing"], CUE["distant"])
-    tags = [t if t != REFUSAL or any(k in f for k in cues) else FOREIGN if CUE["foreign"] in f else ANSWER for t, f in zip(tags, features)]
+    """The defect of a pair by what part of its response the tags cover; words before what is said count for little."""
     size = [len("".join(c.words)) for c in found]
     told = [n if not (CUE["lead_in"] in f and n < 60) else 0 for n, f in zip(size, features)]
-    total = sum(told) or 1
-    cover = lambda k: sum(n for n, t in zip(told, tags) if t == k) / total
-    echoed = sum(n for n, c in zip(told, found) if c.echo) / total
-    cut = tags[-1] == UNFINISHED or CUE["open"] in features[-1] or CUE["no_end"] in features[-1]
-    if cut and found[-1].open and len(found) + size[-1] > 1:
+    if not any(told):
+        told = size
+    cover = lambda *k: sum(n for n, t in zip(told, tags) if t in k)
+    if tags[-1] == UNFINISHED:
         return "truncated"
-    if echoed >= 0.999 and cover(ECHO) > 0:
+    if cover(ECHO) and not cover(ANSWER, FOREIGN, REFUSAL):
         return "copy"
-    if cut:
-        return "truncated"
-    answers = [n for n, t, f in zip(told, tags, features) if t in (ANSWER, FOREIGN, ECHO) and n and CUE["closing"] not in f]
-    if REFUSAL in tags and not answers:
+    if cover(REFUSAL) and not cover(ANSWER, FOREIGN, ECHO):
         return "refusal"
-    # the tag says so, or each clause's own language does; documentation is the code's text, no prose of the answer
-    prose = [(n, t == FOREIGN or CUE["foreign"] in f, CUE["native"] in f) for n, c, t, f in zip(told, found, tags, features) if not c.code and not c.doc and t != REFUSAL]
-    foreign, native, total = sum(n for n, x, _ in prose if x), sum(n for n, x, y in prose if y and not x), sum(n for n, _, _ in prose)
-    if foreign > native and foreign > 0.5 * total:
+    prose = sum(n for n, c, t in zip(told, found, tags) if not c.code and not c.doc and t != REFUSAL)
+    if 2 * cover(FOREIGN) > prose:
         return "language"
     return None
 
 
 # ---------------------------------------------------------------- fitting
-#: Refusals are rare in any sample, so some fixed ones are added to it.
-REFUSALS = tuple(
-    f"{a}{b} {c}.{d}"
-    for i, a in enumerate(("", "I'm sorry, but ", "Sorry, ", "I apologize, however ", "As an assistant, ", "As a language model, ", "Unfortunately, ", "Regrettably, ", "To be honest, ", "Thanks for asking, but ", "Hmm, "))
-    for j, b in enumerate(("I cannot assist with", "I can't help with", "I am unable to work on", "I won't be able to answer", "I must refrain from answering", "I have to decline", "there is no way for me to provide", "I'm not allowed to comment on", "I do not have access to the files for"))
-    for c, d in ((("that", "this request", "this kind of content", "a task like this one")[(i + j) % 4], ("", " Is there anything else you need?", " This goes against my guidelines.", " Please share more context and I may look again.", " Could you try a different question?")[(i + 2 * j) % 5]),)
-) + ("This is outside what I can do.", "I'd rather not do that.", "No answer can be given for this.", "Please provide the missing files; without them I will not attempt this.", "Ich kann dabei leider nicht helfen.", "Je ne peux pas répondre à cette demande.", "Lo siento, no puedo ayudar con eso.", "Não posso ajudar com isso.")
-
-
-def _sure(found: list[Clause], features: list[list[int]]) -> list[int]:
-    """Tags as the surest cues tell them."""
-    out: list[int] = []
-    for i, (c, f) in enumerate(zip(found, features)):
-        has = lambda k, f=f: CUE[k] in f
-        if has("last") and (has("open") or has("no_end")):
-            t = UNFINISHED
-        elif has("refusal") and not c.code:
-            t = REFUSAL
-        elif has("closing") and out and out[-1] == REFUSAL:
-            t = REFUSAL
-        elif has("echo"):
-            t = ECHO
-        elif has("foreign"):
-            t = FOREIGN
-        else:
-            t = ANSWER
-        out.append(t)
-    return out
+#: Refusals and what goes with them (general wording, taken from no table): parts that are put together.
+REFUSAL_PARTS = (
+    ("", "Sorry, but ", "I apologise, but ", "Unfortunately, ", "I'm afraid ", "As an AI model, ", "As an artificial assistant, ", "Regrettably, "),
+    (
+        "I can't do this for you", "I cannot fulfil your request", "I'm unable to answer questions like these", "I won't write that", "I am not able to give an answer here", "I must decline this request", "I have to refuse", "I'm not permitted to discuss it",
+        "it is not possible for me to help you", "I don't have enough access to answer", "I would rather not take part in this", "I do not feel comfortable answering", "this goes beyond what I may do", "that is something I can't provide", "no help can be offered with this",
+        "my rules do not allow me to reply", "I will not be able to assist", "there is nothing I can do about it", "I decline to answer", "I'm not in a position to respond",
+    ),
+    ("", "Is there something else I could do?", "Please ask me about another topic.", "Let me know if you need help with other things.", "It would be against my policy.", "Thanks for your understanding.", "Feel free to send the missing details and I will try once more.", "Perhaps a different question would work better."),
+)
+FOREIGN_REFUSALS = (
+    "Das kann ich leider nicht beantworten.", "Dabei darf ich Ihnen nicht helfen.", "Tut mir leid, das ist mir nicht möglich.", "Je suis désolé, mais je ne peux pas faire cela.", "Il m'est impossible de répondre.", "Lo lamento, pero no me es posible responder.", "No puedo hacer lo que pide.", "Desculpe, não consigo fazer isso.",
+)
+
 
+#: An instruction in each language, for responses the pairs have no instruction of another language for.
+ASKED_IN = {"en": "Explain what this code does.", "de": "Erkläre, was dieser Code macht.", "fr": "Explique ce que fait ce code.", "es": "Explica qué hace este código."}
 
-def fit_pairs(pairs: list[tuple[str | None, str]], rounds: int = 200, rate: float = 0.5, decay: float = 1e-4, endings: Endings | None = None) -> Tagger:
-    """A tagger fitted on (instruction, response) pairs by gradient ascent of the CRF's likelihood; its endings are those of the pairs if none are given."""
+
+def refusals() -> list[str]:
+    a, b, c = REFUSAL_PARTS
+    own = [f"{x}{y[0].upper() + y[1:] if not x else y}.{' ' + z if z else ''}" for i, x in enumerate(a) for j, y in enumerate(b) for z in (c[(i + j) % len(c)], c[(i * 3 + j * 2) % len(c)])]
+    return [*own, *FOREIGN_REFUSALS]
+
+
+def examples(texts: list[tuple[str | None, str]], tagger: Tagger) -> Iterator[tuple[list[list[int]], list[int]]]:
+    """(features, tags) of clauses whose tags follow from how they were made, not from their cues.
+
+    The pairs as they are answer.  A copy of a response that is cut off somewhere is unfinished at its end.  An instruction, or a run of
+    its sentences, as response is an echo; one before the response only quotes it.  The response to an instruction in one language is foreign to one in another.  Refusals
+    are made of fixed parts.  The same pairs always give the same examples.
+    """
+    r = random.Random(0)
+    asked = [i for i, _ in texts if i]
+    spoken: dict[str, list[str]] = {}
+    for i, x in texts:
+        if i and (own := _wanted(i)) and len(own) == 1 and language(x, 4) in own:
+            spoken.setdefault(next(iter(own)), []).append(x)
+
+    def made(instruction, response, tag, last=None):
+        found, f = tagger.cues(instruction, response)
+        if found:
+            tags = [ANSWER if tag == FOREIGN and (c.code or c.doc) else tag for c in found]
+            if last is not None:
+                tags[-1] = last
+            yield f, tags
+
+    for k, (i, x) in enumerate(texts):
+        yield from made(i, x, ANSWER)
+        if k % 3 == 0 and len(x) > 60:
+            cut = x[: r.randint(len(x) // 4, len(x) - 5)].rstrip()
+            if not says_nothing(cut) and (c := clauses(cut)) and (c[-1].open or not c[-1].code and not _STOP.search(c[-1].text) and x[len(cut) : len(cut) + 1].strip(" \n") == "" and "\n" not in x[len(cut) : len(cut) + 2]):
+                yield from made(i, cut, ANSWER, UNFINISHED)
+        if k % 8 == 4 and i and (first := _SENTENCE.split(_FENCED.sub("\n", i).strip())[0].strip()):  # quotes the question, then answers
+            found, f = tagger.cues(i, f"{first}\n\n{x}")
+            quoted = len(clauses(first))
+            yield f, [ECHO if n < quoted else ANSWER for n in range(len(found))]
+        if k % 8 == 0 and i:
+            parts = [s for s in _SENTENCE.split(i) if s and s.strip()]
+            a = r.randrange(len(parts)) if len(parts) > 1 and r.random() < 0.5 else 0
+            own = i if r.random() < 0.4 or not parts else " ".join(parts[a : a + r.randint(1, len(parts))])
+            yield from made(i, r.choice(("", "", "", "Question: ", "You asked: ", "Sure. ")) + own, ECHO)
+            if (code := _FENCED.search(i)) is not None:
+                lines = code[1].split("\n")
+                yield from made(i, code[0] if r.random() < 0.5 else "\n".join(lines[r.randrange(len(lines)) :]).strip() or code[0], ECHO)
+    for name, own in spoken.items():
+        others = [i for i in asked if name not in _wanted(i)] or [x for k, x in ASKED_IN.items() if k != name]
+        for x in own[:400]:
+            yield from made(r.choice(others), x, FOREIGN)
+            if len(own) < 100:
+                yield from made(r.choice(others), x, FOREIGN)
+    said = refusals()
+    for k in r.sample(range(3 * len(said)), min(3 * len(said), 5 + len(texts) // 5)):
+        x = said[k % len(said)]
+        yield from made(r.choice(asked) if asked else "Explain what this code does.", x, REFUSAL)
+
+
+def fit_pairs(pairs: list[tuple[str | None, str]], rounds: int = 120, rate: float = 0.5, decay: tuple[float, float] = (2.0, 50.0), endings: Endings | None = None) -> Tagger:
+    """A tagger fitted on (instruction, response) pairs by gradient ascent of the CRF's likelihood; its endings are those of the pairs if none are given.
+
+    Some of the pairs, taken as answers, are defective themselves; those of which any clause has a chance of DOUBT or more to be
+    something else after a first fit are left out of a second.
+    """
     texts = [(i, r) for i, r in pairs if r and not says_nothing(r)]
     if endings is None:
         endings = Endings.fit([s for _, r in texts for s in _finished(clauses(r))])
-    n_features = len(CUES) + WORD_BUCKETS
-    tagger = Tagger(np.zeros((len(TAGS), n_features)), np.zeros((len(TAGS), len(TAGS))), endings)
-    rows, tags = [], []
-    for i, r in [*texts, *(("Explain what this code does.", r) for r in REFUSALS)]:
-        c, f = tagger.cues(i, r)
-        if c:
-            rows.append(f)
-            tags.append(_sure(c, f))
+    tagger = Tagger(_prior(), np.zeros((len(TAGS), len(TAGS))), endings)
+    rows, tags, own = [], [], []
+    for f, t in examples(texts, tagger):
+        rows.append(f)
+        tags.append(t)
+        own.append(set(t) == {ANSWER})
     if not rows:
         return tagger
-    T = len(TAGS)
+    doubt = _ascend(tagger, rows, tags, rounds // 2, rate, decay)
+    kept = [k for k, x in enumerate(own) if not x or doubt[k] < DOUBT]
+    _ascend(tagger, [rows[k] for k in kept], [tags[k] for k in kept], rounds, rate, decay)
+    # a cut may fall where a sentence could end, and cuts are far rarer than their made examples: their share among the pairs themselves
+    # takes the place of that among all examples
+    pairs_only = [k for k, x in enumerate(own) if x]
+    seen = 1 + sum(UNFINISHED in tags[k] for k in kept)
+    real = 1 + sum(UNFINISHED in x for x in tagger.decode([rows[k] for k in pairs_only]))
+    tagger.emit[UNFINISHED, CUE["last"]] += min(0.0, math.log(real / max(1, len(pairs_only))) - math.log(seen / max(1, len(kept))))
+    return tagger
+
+
+def _ascend(tagger: Tagger, rows: list, tags: list, rounds: int, rate: float, decay: tuple[float, float]) -> np.ndarray:
+    """Moves the weights up the likelihood of the tags; the largest chance of another tag than ANSWER at any clause of each row."""
+    T, n_features = len(TAGS), tagger.emit.shape[1]
+    prior = _prior()
+    # words, and cues of a clause's place and end alone, would else learn the examples by heart
+    shrink = np.full(n_features, decay[1])
+    shrink[[CUE[c] for c, _ in PRIOR if c not in ("bias", "last")]] = decay[0]
+    shrink /= sum(map(len, rows))
     lengths = np.array([len(r) for r in rows])
     flat = np.array([x for r in rows for f in r for x in f])
     counts = np.array([len(f) for r in rows for f in r])
@@ -700,17 +781,15 @@ def fit_pairs(pairs: list[tuple[str | None, str]], rounds: int = 200, rate: floa
         zs = np.repeat(z, lengths)
         p = np.exp(a + b - zs[:, None])
         g = hot - p
-        grad = np.zeros_like(emit)
-        np.add.at(grad.T, flat, g[owner] * weights[:, None])
-        grad = grad / n - decay * emit
+        grad = np.stack([np.bincount(flat, g[owner, t] * weights, n_features) for t in range(T)]) / n - shrink * (emit - prior)
         after = np.flatnonzero(inner)
         pair = np.exp(a[after - 1][:, :, None] + move[None] + (scores[after] + b[after])[:, None, :] - zs[after][:, None, None])
-        grad_move = (gold_move - pair.sum(axis=0)) / n - decay * move
+        grad_move = (gold_move - pair.sum(axis=0)) / n - decay[0] / n * move
         seen_emit += grad**2
         seen_move += grad_move**2
         emit += rate * grad / np.sqrt(seen_emit)
         move += rate * grad_move / np.sqrt(seen_move)
-    return tagger
+    return np.maximum.reduceat(1.0 - p[:, ANSWER], first)
 
 
 def fit(pairs: DataFrame, key: str = "pair_id", fields: tuple[str, str] = ("instruction", "response"), rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Tagger:
