@@ -80,8 +80,10 @@ def overlaps(files: DataFrame, train: str = "train") -> DataFrame:
     verified exactly; pairs of classes then become pairs of files.  Files with no line but comments, null texts and null splits give
     none.  All joins are by line, class or pair and are left to adaptive execution, which splits keys that are too frequent.
     """
-    sets = written(line_sets(files, train), "overlap-sets")
-    classes = sets.groupBy("digest", "is_train").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = written(line_sets(files, train).withColumn("row_no", F.monotonically_increasing_id()), "overlap-sets")
+    # one row stands for each class; its lines are taken along once and written, as prefixes and the verification read them
+    first = sets.groupBy("digest", "is_train").agg(F.min("row_no").alias("row_no"))
+    classes = written(sets.join(first.select("row_no"), "row_no", "left_semi").select("digest", "is_train", "n", "tokens"), "overlap-classes")
     held, train_side = classes.where(~F.col("is_train")), classes.where("is_train")
     need = lambda n: F.ceil(n * 4 / F.lit(5.0)).cast("int")
     exploded = lambda c: c.select("digest", "n", F.explode("tokens").alias("token"))
