@@ -730,12 +730,14 @@ def fit_pairs(pairs: list[tuple[str | None, str]], rounds: int = 120, rate: floa
     doubt = _ascend(tagger, rows, tags, rounds // 2, rate, decay)
     kept = [k for k, x in enumerate(own) if not x or doubt[k] < DOUBT]
     _ascend(tagger, [rows[k] for k in kept], [tags[k] for k in kept], rounds, rate, decay)
-    # a cut may fall where a sentence could end, and cuts are far rarer than their made examples: their share among the pairs themselves
-    # takes the place of that among all examples
+    # cuts are far rarer than their made examples: where a sentence could end as well, which no cue tells from a cut, their share among
+    # the pairs themselves takes the place of that among all examples
     pairs_only = [k for k, x in enumerate(own) if x]
     seen = 1 + sum(UNFINISHED in tags[k] for k in kept)
     real = 1 + sum(UNFINISHED in x for x in tagger.decode([rows[k] for k in pairs_only]))
-    tagger.emit[UNFINISHED, CUE["last"]] += min(0.0, math.log(real / max(1, len(pairs_only))) - math.log(seen / max(1, len(kept))))
+    rarer = min(0.0, math.log(real / max(1, len(pairs_only))) - math.log(seen / max(1, len(kept))))
+    tagger.emit[UNFINISHED, CUE["last"]] += rarer
+    tagger.emit[UNFINISHED, [CUE["open"], CUE["no_end"]]] -= rarer
     return tagger
 
 
