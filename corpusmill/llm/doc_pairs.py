@@ -6,6 +6,7 @@ import ast
 import bisect
 import re
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ Function = tuple[int, str, str, str]
 """(line of the keyword, name, documentation, code from its first decorator, attribute or qualifier on, without the outer indent)."""
 
 
+Keep = Callable[[str, str], bool]
+
+
 def _dedented(text: str, start: int, end: int, indent: str, inside: list[tuple[int, int]]) -> str:
     """text[start:end] without the indent at each line's beginning; lines that begin inside a string stay as they are.
 
@@ -68,8 +72,8 @@ def _docstring(text: str, p: int) -> str:
         return source
 
 
-def python_functions(text: str) -> list[Function]:
-    """Every def of a grammatical Python text, nested and async ones too, with its docstring."""
+def python_functions(text: str, keep: Keep = lambda doc, name: True) -> list[Function]:
+    """Every def of a grammatical Python text, nested and async ones too, with its docstring; its code only if (docstring, name) are to be kept."""
     found: list[tuple] = []
     inside: list[tuple[int, int]] = []
     depth = 0
@@ -86,7 +90,7 @@ def python_functions(text: str) -> list[Function]:
             if depth == 0:
                 decorated = -1
         elif t[-1] == "@":
-            if depth == 0 and decorated < 0 and text[: m.start()].rstrip("\r\n")[-1:] != "\\":
+            if depth == 0 and decorated < 0 and not text[max(0, m.start() - 3) : m.start()].rstrip("\r\n").endswith("\\"):
                 decorated = m.start()
         elif len(t) > 1:
             if t in _OPEN:  # a string that doesn't end
@@ -104,7 +108,8 @@ def python_functions(text: str) -> list[Function]:
     for at, start, indent, name, p in found:
         line += text.count("\n", counted, at)
         counted = at
-        out.append((line, name, _docstring(text, p), _dedented(text, start, _body_end(text, at, p, inside), indent, inside).rstrip()))
+        doc = _docstring(text, p)
+        out.append((line, name, doc, _dedented(text, start, _body_end(text, at, p, inside), indent, inside).rstrip() if keep(doc, name) else ""))
     return out
 
 
@@ -138,11 +143,11 @@ def _string_value(t: str) -> str:
     return re.sub(r"\\\s*\n\s*", "", t[1:-1]).replace('\\"', '"').replace("\\n", "\n")
 
 
-def rust_functions(text: str, lexed: tuple | None = None) -> list[Function]:
+def rust_functions(text: str, lexed: tuple | None = None, keep: Keep = lambda doc, name: True) -> list[Function]:
     """Every fn with a body of a Rust text, with its outer documentation; none inside macro definitions and calls.
 
     Bodies are delimited by matching brackets.  Raises NotGrammatical if the text has no tokens or unmatched brackets.  lexed: what
-    syntax.rust_tokens gave for the text.
+    syntax.rust_tokens gave for the text.  keep: as for python_functions.
     """
     if lexed is None:
         places: list[int] = []
@@ -175,6 +180,10 @@ def rust_functions(text: str, lexed: tuple | None = None) -> list[Function]:
                 counted = places[i]
                 name = toks[i + 1].removeprefix("r#")
                 docs, first, above = _outer_docs(toks, kinds, back, i)
+                if not keep(docs, name):
+                    out.append((line, name, docs, ""))
+                    i += 1
+                    continue
                 start, end = places[first], places[match[j]] + 1
                 outer = text.rfind("\n", 0, start) + 1
                 indent = text[outer:start]
@@ -247,13 +256,13 @@ def trivial(doc: str | None, name: str) -> bool:
     return len(found) <= 14 and _TO_COME.search(" ".join((doc or "").split())) is not None
 
 
-def functions_of(text: str | None, language: str) -> list[Function]:
+def functions_of(text: str | None, language: str, keep: Keep = lambda doc, name: True) -> list[Function]:
     if not text or not text.strip():
         return []
     if language == "python":
-        return python_functions(text)
+        return python_functions(text, keep)
     try:
-        return rust_functions(text)
+        return rust_functions(text, keep=keep)
     except rust_syntax.NotGrammatical:
         return []
 
@@ -275,6 +284,9 @@ def documented(files: DataFrame | None, pairs: DataFrame | None) -> DataFrame:
         parts.append(pairs.select(F.lit("retrieval_pairs").alias("tbl"), F.col("rp_id").alias("row_id"), F.when(label.isin("python", "rust"), label).otherwise(kind).alias("language"), F.col("anchor").alias("text"), F.col("positive").alias("doc")))
     source = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    def documents(doc, name):
+        return not trivial(doc, name)
+
     def rows(batches):
         for b in batches:
             out: dict[str, list] = {k: [] for k in schema.names}
@@ -285,9 +297,9 @@ def documented(files: DataFrame | None, pairs: DataFrame | None) -> DataFrame:
                 if tbl == "source_files":
                     if language == "rust":
                         lexed = rust_tokens(text)
-                        found = rust_functions(text, lexed) if lexed else []
+                        found = rust_functions(text, lexed, documents) if lexed else []
                     else:
-                        found = functions_of(text, language) if grammatical(text, language) else []
+                        found = functions_of(text, language, documents) if grammatical(text, language) else []
                 else:
                     found = functions_of(text, language or ("rust" if re.search(r"\bfn\s+\w+\s*[(<]", text) else "python"))[:1]
                     found = [(line, name, doc, code) for line, name, _, code in found]
