@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .util import arrow_map, bounded_sample, spread
+from .util import arrow_map, spread, written
 
-#: Documents the models are fitted on at most, of the smallest hashes of the key, and characters of each at most.
-FIT_ROWS = 3000
-FIT_CHARS = 20_000
+#: Texts are worked on together up to about this many characters, which keeps their arrays in a core's cache.
+BATCH_CHARS = 1 << 17
 #: A document is residue if windows of residue hold this part of its segments or of its characters.
 COVERAGE = 0.5
 BUCKETS = 1 << 18
+#: In larger tables the seeds count once for each so many four-grams, some 3,000 documents, so what was learned doesn't outnumber them.
+SEED_GRAMS = 4e6
 #: Rates below this count as unseen; a segment's score is cut to these bounds when windows are made.
 EPSILON = 1e-5
 RESIDUE_MOST, NATURAL_MOST = 30.0, -20.0
@@ -38,11 +40,22 @@ PLACEHOLDER = re.compile(
     re.I,
 )
 _MAY_HOLD = re.compile(r"[{\[<@%«‹$]|__|TODO_|XXX_|FIXME_|TBD_")
+#: The same but for the words, which are rare; it begins with one class of characters, so the search skips all others.
+_MARKED = re.compile(
+    r"[_{\[<#$@%«‹](?i:(?<=\b_)_[A-Za-z]\w*?__\b"
+    r"|(?<=\{)(?:\{[^{}\n]*\}\}|%[^%\n]*%\}|(?<![\w{$#%(]\{)[A-Za-z]\w*\}(?!\}))"
+    r"|(?<=\[)(?:\[[^\[\]\n]+\]\]|\s*(?:your|insert|enter|add|name of|company|placeholder|fill in)\b[^\]\n]*\])"
+    r"|(?<=<)(?:%=?[^%\n]*%>|<[A-Za-z][\w ]*>>|\s*(?:your|insert|enter|add)\b[^>\n]*>|(?<![\w<&]<)[A-Za-z]\w*>(?!\s*[({\[]|\w*</))"
+    r"|(?<=[$#])\{[^{}\n]+\}|(?<=\$)[A-Z][A-Z_]{2,}\$|(?<=%)(?:%\w+%%|\([A-Za-z_]\w*\)s|[A-Z][A-Z_]{2,}%)"
+    r"|(?<=@)@\w+@@|(?<=«)[^«»\n]+»|(?<=‹)[^‹›\n]+›)"
+)
+_WORDS = ("todo_", "xxx_", "xme_", "tbd_")
 _HTML = re.compile(r"</?(?:!doctype|html|head|title|body|h\d|p|div|span|center|hr|br|noscript|script|meta|a|ul|li|strong|em|b|i|pre|code|table|tr|td|th)\b[^<>\n]*>", re.I)
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _TICKS = re.compile(r"`[^`\n]+`")
 _DIGITS = re.compile(r"\d+")
-_SPLIT = re.compile(r"(?<=[.!?])\s+|\n+|\s{2,}")
+#: After a stop, at line feeds, at two or more blanks.
+_SPLIT = re.compile(r"\s(?:(?<=[.!?]\s)\s*|(?<=\n)\n*|\s+)")
 _HEADING = re.compile(r"^#{1,6}\s+[^.!?]{0,80}$")
 _LEAD = re.compile(r"^[\s>*+\-]*(?:0[.)]\s+)?")
 
@@ -145,6 +158,14 @@ def keyboard_noise(words: int = 200, rows: tuple[str, ...] = ("qwertyuiop", "asd
     return [" ".join(word(row) for _ in range(words)) for row in rows]
 
 
+def marked(text: str) -> str:
+    """The text with MARK in place of its placeholders."""
+    if not _MAY_HOLD.search(text):
+        return text
+    low = text.lower()
+    return (PLACEHOLDER if any(w in low for w in _WORDS) else _MARKED).sub(MARK, text)
+
+
 def segments(text: str) -> tuple[list[str], list[int], int]:
     """(segments in the models' alphabet, characters of each, characters of fenced code).
 
@@ -161,7 +182,7 @@ def segments(text: str) -> tuple[list[str], list[int], int]:
     if "<" in text:
         text = _HTML.sub("\n", text)
     # one pass each over the whole text, as most texts have thousands of segments
-    text = _DIGITS.sub("0", PLACEHOLDER.sub(MARK, text) if _MAY_HOLD.search(text) else text)
+    text = _DIGITS.sub("0", marked(text))
     parts, sizes = [], []
     for s in _SPLIT.split(text):
         if not s or s.isspace():
@@ -171,23 +192,79 @@ def segments(text: str) -> tuple[list[str], list[int], int]:
             if MARK not in s:
                 size = 0
             s = s.lstrip("#")
-        parts.append(_LEAD.sub("", s, count=1).lower().strip() or s.strip())
+        parts.append(_LEAD.sub("", s, count=1).lower().strip() or s.strip() or "#")
         sizes.append(size)
     return parts, sizes, code
 
 
-def _grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the four-grams of all segments one after the other, and where each segment begins."""
-    joined = "".join(["\n\n" + p + "\n" for p in parts])
-    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = c[:-3] * np.uint64(0x9E3779B1) ^ c[1:-2] * np.uint64(0x85EBCA77) ^ c[2:-1] * np.uint64(0xC2B2AE3D) ^ c[3:] * np.uint64(0x27D4EB2F)
-    h = (h ^ (h >> np.uint64(15)) ^ (h >> np.uint64(29))) & np.uint64(BUCKETS - 1)
-    starts, p = [], 0
-    for x in parts:
-        starts.append(p)
-        p += len(x) + 3
-    # a segment's grams end with its own line end
-    return h.astype(np.int64), np.minimum(np.array(starts, np.int64), len(h) - 1)
+class Texts(NamedTuple):
+    """Segments of some texts one after the other: buckets of their four-grams, where each segment's begin, its characters; where each
+    text's segments begin, with their number at the end, its characters of code, and the kind its form shows or -1."""
+
+    grams: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    firsts: np.ndarray
+    code: list[int]
+    shown: list[int]
+    parts: list[str]
+
+
+def _read(parts: list[str], sizes: list[bytes], code: list[int], shown: list[int]) -> Texts:
+    """`parts` are the segments of each text, joined by line feeds, which no segment holds; `sizes` int64 of their characters."""
+    joined = "".join(["\n\n" + p.replace("\n", "\n\n\n") + "\n" for p in parts])
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    breaks = np.flatnonzero(c == 10)  # three a segment
+    lengths = breaks[2::3] - breaks[::3] + 1
+    firsts = np.cumsum([0, *(len(s) // 8 for s in sizes)])
+    # a text's last gram ends with its line end: three less than there are characters
+    lengths[firsts[1:] - 1] -= 3
+    h = _hashes(c)
+    if len(parts) > 1:
+        own = np.ones(len(h), bool)
+        ends = breaks[2::3][firsts[1:-1] - 1]
+        for k in range(3):
+            own[ends - k] = False
+        h = h[own]
+    return Texts(h, np.cumsum(lengths) - lengths, np.frombuffer(b"".join(sizes), np.int64), firsts, code, shown, parts)
+
+
+def _hashes(c: np.ndarray) -> np.ndarray:
+    """Buckets of the four-grams of code points, in blocks that stay in a core's cache."""
+    out = np.empty(len(c) - 3, np.int64)
+    for at in range(0, len(out), BATCH_CHARS):
+        x = c[at : at + BATCH_CHARS + 3].astype(np.uint64)
+        h = x[:-3] * np.uint64(0x9E3779B1)
+        h ^= x[1:-2] * np.uint64(0x85EBCA77)
+        h ^= x[2:-1] * np.uint64(0xC2B2AE3D)
+        h ^= x[3:] * np.uint64(0x27D4EB2F)
+        out[at : at + len(h)] = (h ^ (h >> np.uint64(15)) ^ (h >> np.uint64(29))) & np.uint64(BUCKETS - 1)
+    return out
+
+
+def _packed(text: str) -> tuple[str, bytes, int, int] | None:
+    """A text's segments as `_read` takes them; None if it has none."""
+    parts, sizes, code = segments(text)
+    if not parts:
+        return None
+    shown = form(parts, sizes) if not code else ""
+    return "\n".join(parts), np.array(sizes, np.int64).tobytes(), code, KINDS.index(shown) if shown else -1
+
+
+def _batches(rows: Iterable[tuple[str, bytes, int, int]]) -> Iterator[Texts]:
+    held, chars = [], 0
+    for row in rows:
+        held.append(row)
+        chars += len(row[0])
+        if chars >= BATCH_CHARS:
+            yield _read(*map(list, zip(*held)))
+            held, chars = [], 0
+    if held:
+        yield _read(*map(list, zip(*held)))
+
+
+def _plain(parts: list[str]) -> Texts:
+    return _read(["\n".join(parts)], [np.array([len(p) for p in parts], np.int64).tobytes()], [0], [-1])
 
 
 def form(parts: list[str], sizes: list[int]) -> str:
@@ -214,59 +291,105 @@ class Model:
     def fit(cls, texts: Iterable[str], rounds: int = 4) -> Model:
         """Seeds, and what the form of a text shows, against all other segments first.  Then, round by round, what that finds moves to
         the residue's side: all segments of a text that is mostly filler, stub or notice, as they keep company with the known ones; of
-        other texts only segments that are sure."""
-        docs = [(*_grams(p), np.array(n), code, form(p, n) if not code else "", np.array([MARK in x for x in p])) for p, n, code in map(segments, texts) if p]
+        other texts only segments that are sure.  `fit` below does the same for a table."""
+        docs = list(_batches(x for x in map(_packed, texts) if x))
+        return cls._rounds(lambda model: _counts(docs, model), rounds)
+
+    @classmethod
+    def _rounds(cls, count: Callable[[Model | None], np.ndarray], rounds: int) -> Model:
+        """`count` gives `_counts` of all texts."""
         seeds = np.zeros((len(KINDS), BUCKETS))
         for k, kind in enumerate(KINDS):
             if known := [s.lower() for s in SEEDS[kind]] + keyboard_noise() * (kind == "filler") + [x.lower() for x in MARKS] * (kind == "stub"):
-                np.add.at(seeds[k], _grams(known)[0], 1.0)
-        model = None
-        for _ in range(rounds + 1):
-            residue, natural = seeds.copy(), np.zeros(BUCKETS)
-            for h, starts, sizes, code, shown, marked in docs:
-                ends = np.append(starts[1:], len(h))
-                told = sizes > 0
-                kind = np.zeros(len(starts), np.int64)
-                moved = np.zeros(len(starts), bool)
-                if shown:
-                    kind[:] = KINDS.index(shown)
-                    moved = told & marked if shown == "template" else told
-                elif model is not None:
-                    scores = model._sums(h, starts)
-                    kind, best = scores.argmax(axis=0), scores.max(axis=0)
-                    inside, cover, main = _cover(best, kind, sizes, code)
-                    if cover >= COVERAGE and KINDS[main] != "template":
-                        moved, kind = told, np.full(len(starts), main)
-                    else:
-                        moved = inside & (best > np.maximum(SURE, SURE_EACH * (ends - starts)))
-                for i, (a, b) in enumerate(zip(starts, ends)):
-                    np.add.at(residue[kind[i]] if moved[i] else natural, h[a:b], 1.0)
-            model = cls._of(residue, natural)
+                np.add.at(seeds[k], _plain(known).grams, 1.0)
+        moved = count(None)
+        every, moved = moved[-1], moved[:-1]
+        model = cls._of(seeds, moved, every)
+        for _ in range(rounds):
+            model = cls._of(seeds, count(model)[:-1], every)
         return model
 
     @classmethod
-    def _of(cls, residue: np.ndarray, natural: np.ndarray) -> Model:
-        base = np.log(natural / max(1.0, natural.sum()) + EPSILON)
-        return cls(np.stack([np.log(r / max(1.0, r.sum()) + EPSILON) - base for r in residue]).astype(np.float32))
-
-    def _sums(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.tables[:, h], starts, axis=1)
+    def _of(cls, seeds: np.ndarray, moved: np.ndarray, every: np.ndarray) -> Model:
+        """From the four-grams of the seeds, of the segments that move and of all, the last two with the number of their texts behind them.
+
+        Texts of residue are short, so whatever stands in texts of either sort is a larger part of them.  What was learned therefore
+        speaks for residue only where it is in more of each text than in natural ones, less a standard error of its count.
+        """
+        natural, others = every[:-1] - moved[:, :-1].sum(axis=0), max(1, every[-1] - moved[:, -1].sum())
+        base = np.log(natural / max(1, natural.sum()) + EPSILON)
+        known, learned = seeds * max(1.0, every[:-1].sum() / SEED_GRAMS), moved[:, :-1]
+        total = np.maximum(1.0, (known + learned).sum(axis=1, keepdims=True))
+        ratio, least = (np.log(x / total + EPSILON) - base for x in (known + learned, known))
+        more = (learned - np.sqrt(learned)) * others > natural * moved[:, -1:]
+        return cls(np.where(more, ratio, np.maximum(least, np.minimum(ratio, 0.0))).astype(np.float32))
+
+    def _scored(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        s = np.stack([np.add.reduceat(t.take(texts.grams), texts.starts) for t in self.tables])
+        return s.max(axis=0), s.argmax(axis=0)
 
     def scores(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(best log ratio, its kind) of each segment."""
-        s = self._sums(*_grams(parts))
-        return s.max(axis=0), s.argmax(axis=0)
+        return self._scored(_plain(parts))
+
+    def _covers(self, texts: Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, float, int]]:
+        """(number of the text, best log ratio, kind and whether in a window, by segment, part of the text in windows, their main kind)
+        of the texts that have a window."""
+        best, kind = self._scored(texts)
+        high = np.maximum.reduceat(np.where(texts.sizes > 0, best, -1.0), texts.firsts[:-1]) > THRESHOLD
+        for i in np.flatnonzero(high):
+            own = slice(texts.firsts[i], texts.firsts[i + 1])
+            yield i, best[own], kind[own], *_cover(best[own], kind[own], texts.sizes[own], texts.code[i])
+
+    def coverages(self, texts: list[str | None]) -> list[tuple[float, str]]:
+        """(part of the text that windows of residue hold, their main kind) of each; 0 and '' for null and blank texts."""
+        out = [(0.0, "")] * len(texts)
+        packed = ((i, p) for i, t in enumerate(texts) if t and not t.isspace() and (p := _packed(t)))
+        at: list[int] = []
+        done = 0
+        for b in _batches(at.append(i) or p for i, p in packed):
+            for i, *_, cover, main in self._covers(b):
+                if cover:
+                    out[at[done + i]] = cover, KINDS[main]
+            done += len(b.parts)
+        return out
 
     def coverage(self, text: str | None) -> tuple[float, str]:
-        """(part of the text that windows of residue hold, their main kind); 0 and '' for null and blank texts."""
-        if not text or text.isspace():
-            return 0.0, ""
-        parts, sizes, code = segments(text)
-        if not parts:
-            return 0.0, ""
-        best, kind = self.scores(parts)
-        _, cover, main = _cover(best, kind, np.array(sizes), code)
-        return cover, KINDS[main] if cover else ""
+        return self.coverages([text])[0]
+
+
+def _counts(batches: Iterable[Texts], model: Model | None) -> np.ndarray:
+    """How often each four-gram is among the segments that move to each kind, and behind them how many texts have such segments; without a
+    model the last row tells it of all segments."""
+    out = np.zeros((len(KINDS) + 1, BUCKETS + 1), np.int64)
+    for b in batches:
+        if model is None:
+            out[-1, :-1] += np.bincount(b.grams, minlength=BUCKETS)
+            out[-1, -1] += len(b.parts)
+        ends = np.append(b.starts[1:], len(b.grams))
+
+        def move(k: int, segments: np.ndarray) -> None:
+            out[k, -1] += len(segments) > 0
+            for i in segments:
+                np.add.at(out[k], b.grams[b.starts[i] : ends[i]], 1)
+
+        for i, k in enumerate(b.shown):
+            if k >= 0:
+                told = b.sizes[b.firsts[i] : b.firsts[i + 1]] > 0
+                if KINDS[k] == "template":
+                    told &= [MARK in p for p in b.parts[i].split("\n")]
+                move(k, b.firsts[i] + np.flatnonzero(told))
+        for i, best, kind, inside, cover, main in model._covers(b) if model else ():
+            first, last = b.firsts[i], b.firsts[i + 1]
+            if b.shown[i] >= 0:
+                continue
+            if cover >= COVERAGE and KINDS[main] != "template":
+                move(main, first + np.flatnonzero(b.sizes[first:last] > 0))
+            else:
+                sure = inside & (best > np.maximum(SURE, SURE_EACH * (ends[first:last] - b.starts[first:last])))
+                for k in range(len(KINDS)):
+                    move(k, first + np.flatnonzero(sure & (kind == k)))
+    return out
 
 
 def _cover(best: np.ndarray, kind: np.ndarray, sizes: np.ndarray, code: int) -> tuple[np.ndarray, float, int]:
@@ -309,10 +432,38 @@ def windows(scores: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """A model fitted on at most `rows` documents of at most `chars` characters, those of the smallest hashes of their key."""
-    sample = bounded_sample(documents, key, [F.col(text).alias("t")], F.length(text).between(1, chars), rows)
-    return Model.fit([r.t for r in sample])
+def fit(documents: DataFrame, text: str = "text", rounds: int = 4) -> Model:
+    """The model of `Model.fit` for all texts of the table, whatever their number and length.
+
+    The segments are written once and read again in each round; tasks send what they counted, which is summed by four-gram.  Only those
+    sums, of a fixed size, reach the driver.
+    """
+    sc = documents.sparkSession.sparkContext
+
+    def pack(batches):
+        for b in batches:
+            found = [p for t in b["__text"] if not t.isspace() and (p := _packed(t))]
+            yield {c: [x[i] for x in found] for i, c in enumerate(("parts", "sizes", "code", "shown"))}
+
+    small = documents.where(F.length(text) > 0).select(F.col(text).alias("__text"))
+    packed = written(arrow_map(spread(small), pack, "parts string, sizes binary, code bigint, shown int"), "residue")
+
+    def count(model: Model | None) -> np.ndarray:
+        held = sc.broadcast(model.tables if model else None)  # of fixed size
+
+        def rows(batches):
+            m = Model(held.value) if held.value is not None else None
+            n = _counts(_batches(x for b in batches for x in zip(b["parts"], b["sizes"], b["code"], b["shown"])), m).ravel()
+            cells = np.flatnonzero(n)
+            yield {"cell": cells, "n": n[cells]}
+
+        sums = arrow_map(packed, rows, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        held.destroy()
+        out = np.zeros((len(KINDS) + 1) * (BUCKETS + 1), np.int64)
+        out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+        return out.reshape(-1, BUCKETS + 1)
+
+    return Model._rounds(count, rounds)
 
 
 def detect(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -327,8 +478,7 @@ def detect(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
     def rows(batches):
         m = Model(held.value)
         for b in batches:
-            found = [(k, *m.coverage(t)) for k, t in zip(b[key], b["__text"])]
-            found = [x for x in found if x[1] >= COVERAGE]
+            found = [(k, *c) for k, c in zip(b[key], m.coverages(b["__text"])) if c[0] >= COVERAGE]
             yield {key: [x[0] for x in found], "coverage": [round(x[1], 4) for x in found], "kind": [x[2] for x in found]}
 
     return arrow_map(spread(small), rows, StructType([small.schema[key]]).add("coverage", "double").add("kind", "string"))

@@ -592,3 +592,42 @@ def test_residue_learns_from_company():
     docs = [f"{known}\n{odd}" for _ in range(4)] + [" ".join(PROSE[i:] + PROSE[:i]) for i in range(len(PROSE))] * 100
     score = lambda own: residue.Model.fit(own).scores([odd.lower()])[0][0]
     assert residue.Model.fit(docs).coverage(odd)[0] == 1.0 and score(docs) > 2 * max(0.0, score(docs[4:]))
+
+
+def test_residue_is_fitted_on_every_document(spark):
+    import numpy as np
+
+    r = random.Random(12)
+    texts = [" ".join(r.sample(PROSE, 2)) + f"\n\nRow {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} is kept." for i in range(3300)]
+    texts += ["Zurpel quax brindled vompts. " * 1000, "TBD\n\nDrumbel frint.", "# {{ a }}\n\nHello {{ b }}.", "", " \n", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert np.array_equal(residue.fit(df).tables, residue.Model.fit([t for t in texts if t]).tables)
+
+
+def test_residue_reads_texts_together_as_alone(model):
+    texts = ["TBD", None, "# ", " ".join(PROSE), "", "Please enable JavaScript to continue.", "x" * 200_000, "404 Not Found", "\n", "Lorem ipsum dolor sit amet."] * 3
+    assert model.coverages(texts) == [model.coverage(t) for t in texts]
+
+
+def test_quick_placeholders_equal_plain_ones():
+    r = random.Random(13)
+    bits = [*"{}[]<>%@$#_()&/=.!« »‹›\n", "{{", "}}", "<<", ">>", "@@", "__", "name", "B", "your", "insert", "TODO_", "xxx", "s", "ſ", "é", "fill in"]
+    for _ in range(20_000):
+        x = "".join(r.choice(bits) for _ in range(r.randint(1, 14)))
+        assert residue.marked(x) == (residue.PLACEHOLDER.sub(residue.MARK, x) if residue._MAY_HOLD.search(x) else x), x
+
+
+def test_residue_learns_nothing_from_what_stands_everywhere():
+    odd = ["zurpel quax brindled vompts", "drumbel frint oskarin wex", "kelvor humat ibblequis nar"]
+    prose = [" ".join(PROSE[i:] + PROSE[:i]) for i in range(len(PROSE))]
+    docs = [prose[i % len(prose)] + ("\n" + odd[i // 10 % 3] if i % 10 == 0 else "") for i in range(2000)]
+    docs += ["The requested URL /index.html was not found on this server." + ("\n" + odd[i // 10 % 3] if i % 10 == 0 else "") for i in range(200)]
+    got = residue.Model.fit(docs)
+    assert all(got.scores([x])[0][0] <= residue.THRESHOLD for x in odd) and got.coverage(docs[-1])[0] == 1.0
+
+
+def test_seeds_outlast_a_large_corpus(monkeypatch):
+    docs = [" ".join(PROSE[i:] + PROSE[:i]) for i in range(len(PROSE))] * 20 + ["# Setup\n\nvompt drumbel oskarin wex\n\n# Usage\n\nkelvor humat ibblequis nar\n"] * 10
+    monkeypatch.setattr(residue, "SEED_GRAMS", sum(map(len, docs)))
+    few, many = (residue.Model.fit(docs * n).scores(["this section needs expansion."])[0][0] for n in (1, 50))
+    assert abs(few - many) < 0.1 * few
